@@ -1,0 +1,67 @@
+"""Per-key results without waiting for the few keys that hold most rows.
+
+Rows are first compressed to the frequencies of their values, grouped by key and value
+(partial on the map side, and spread over all tasks whatever the key). Distinct counts,
+modes and percentiles are then exact results over weighted values. Percentiles would need
+the values of a key in order; they are ordered in two steps, first whole ranges of values and then
+the values inside the one range that holds the rank, so that no task sorts a whole key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def value_frequencies(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``_key``, ``_value``, ``_n`` for the non-NULL values; a NULL key is a key of its own."""
+    return rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def distinct_and_mode(freq: DataFrame) -> DataFrame:
+    """Per key: ``n``, ``distinct`` and ``mode`` (of equally frequent values the smallest)."""
+    per_n = freq.groupBy("_key", "_n").agg(F.count(F.lit(1)).alias("_d"), F.min("_value").alias("_value"))
+    return per_n.groupBy("_key").agg(F.sum(F.col("_n") * F.col("_d")).alias("n"), F.sum("_d").alias("distinct"), F.max_by("_value", "_n").alias("mode"))
+
+
+def weighted_percentiles(freq: DataFrame, probabilities: Sequence[float], *, range_bits: int = 10) -> DataFrame:
+    """Exact percentiles of integer values: ``_key``, ``probability``, ``value``.
+
+    The value at probability p is the smallest one with at least ``ceil(p * n)`` rows (one at
+    least) at or below it. A range holds ``2 ** range_bits`` values: that many rows at most pass through one
+    window of values, and one row per range through the window of ranges.
+    """
+    freq = freq.withColumn("_range", F.shiftright(F.col("_value").cast("bigint"), range_bits))
+    ranges = freq.groupBy("_key", "_range").agg(F.sum("_n").alias("_m"))
+    over_key = Window.partitionBy("_key")
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).withColumn("_all", F.sum("_m").over(over_key))
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+    ranks = (
+        ranges.select("*", ps.alias("probability"))
+        .withColumn("_rank", F.greatest(F.ceil(F.col("probability") * F.col("_all")), F.lit(1)))
+        .where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_m")))
+        .groupBy("_key", "_range")
+        .agg(F.max("_before").alias("_before"), F.collect_list(F.struct("probability", "_rank")).alias("_ranks"))
+        .withColumnsRenamed({"_key": "_rkey", "_range": "_rrange"})
+    )
+    inside = Window.partitionBy("_rkey", "_rrange").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    hit = freq.join(ranks, F.col("_key").eqNullSafe(F.col("_rkey")) & (F.col("_range") == F.col("_rrange")))
+    hit = hit.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    wanted = F.filter("_ranks", lambda r: (r["_rank"] <= F.col("_upto")) & (r["_rank"] > F.col("_upto") - F.col("_n")))
+    return hit.select("_key", "_value", F.explode(wanted).alias("r")).select("_key", F.col("r.probability").alias("probability"), F.col("_value").alias("value"))
+
+
+def key_profile(rows: DataFrame, key: str, values: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Long profile of integer columns per key: ``key``, ``field``, ``n``, ``distinct``, ``mode`` and ``percentiles``
+    (array of ``probability``/``value`` in order). A key without a non-NULL value in a field has no row for it."""
+    out = None
+    for v in values:
+        freq = value_frequencies(rows.withColumn(v, F.col(v).cast("bigint")), key, v)
+        marks = weighted_percentiles(freq, probabilities).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("probability", "value"))).alias("percentiles"))
+        part = distinct_and_mode(freq).join(marks.withColumnRenamed("_key", "_pkey"), F.col("_key").eqNullSafe(F.col("_pkey")))
+        part = part.select(F.col("_key").alias("key"), F.lit(v).alias("field"), "n", "distinct", "mode", "percentiles")
+        out = part if out is None else out.unionByName(part)
+    return out
