@@ -35,7 +35,7 @@ LANGUAGES = {
 }
 NAMES = sorted(LANGUAGES)
 
-SAMPLE_DOCUMENTS = 3000
+SAMPLE_DOCUMENTS = 1500
 """Bound on the labelled documents the classifier is fitted on."""
 LEAST_WORDS = 12
 
@@ -54,7 +54,7 @@ HASH_BITS = 17
 def _grams(word: str) -> np.ndarray:
     w = f"<{word}>"
     n = len(w)
-    return np.array([zlib.crc32(w[i : i + k].encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for k in (1, 2, 3, 4) for i in range(n - k + 1)], np.int64)
+    return np.array([zlib.crc32(w[i : i + k].encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for k in (1, 2, 3) for i in range(n - k + 1)], np.int64)
 
 
 @dataclass
@@ -127,7 +127,7 @@ def _features(passages: Sequence[list[str]]) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def _ftrl(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, classes: int, *, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, epochs: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _ftrl(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, classes: int, *, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, epochs: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal with elastic net; returns sparse weights and the bias."""
     dim = 1 << HASH_BITS
     z, n = np.zeros((dim + 1, classes)), np.zeros((dim + 1, classes))
@@ -154,8 +154,11 @@ def _ftrl(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, classes: int,
     return w[:dim], w[dim]
 
 
-def fit(passages: Sequence[list[str]], labels: Sequence[int], held_out: Sequence[bool], classes: int = len(NAMES)) -> Model:
-    """Fit, drop the passages whose label the fit contradicts, fit again, calibrate on the held-out ones."""
+def fit(passages: Sequence[list[str]], labels: Sequence[int], held_out: Sequence[bool], folds: Sequence[int], classes: int = len(NAMES)) -> Model:
+    """Drop the passages whose label a fit on the other half contradicts, fit the rest, calibrate on held-out ones.
+
+    Passages of one document should have one value of ``folds``.
+    """
     ys, out = np.asarray(labels), np.asarray(held_out, bool)
     raw = _features(passages)
     dim = 1 << HASH_BITS
@@ -169,26 +172,32 @@ def fit(passages: Sequence[list[str]], labels: Sequence[int], held_out: Sequence
         v = c * idf[i]
         xs.append((i, model.scale * v / max(v.sum(), 1e-9)))
     kept = np.array([len(i) > 0 for i, _ in xs], bool)
-    for _ in range(2):
-        use = np.flatnonzero(kept & ~out)
-        if not len(use):
-            return model
-        model.weights, model.bias = _ftrl([xs[r] for r in use], ys[use], classes)
-        logits = np.array([v @ model.weights[i] + model.bias for i, v in xs])
-        kept &= logits.argmax(axis=1) == ys
-    check = np.flatnonzero(kept & out)
+    # each half is judged by a fit on the other one, which can't have learnt its wrong labels by heart
+    half = np.asarray(folds, int) % 2
+    good = kept.copy()
+    for side in (0, 1):
+        use = np.flatnonzero(kept & ~out & (half == side))
+        if len(use):
+            w, bias = _ftrl([xs[r] for r in use], ys[use], classes)
+            good &= (half == side) | np.array([len(i) > 0 and int((v @ w[i] + bias).argmax()) == y for (i, v), y in zip(xs, ys)], bool)
+    use = np.flatnonzero(good & ~out)
+    if not len(use):
+        return model
+    model.weights, model.bias = _ftrl([xs[r] for r in use], ys[use], classes)
+    logits = np.array([v @ model.weights[i] + model.bias for i, v in xs])
+    check = np.flatnonzero(good & out)
     if len(check):
         model.temperature = _temperature(logits[check], ys[check])
     return model
 
 
 def _temperature(logits: np.ndarray, ys: np.ndarray) -> float:
-    """The temperature of least negative log likelihood, by golden section on its logarithm."""
+    """The temperature of least negative log likelihood, by golden section on its logarithm; it never sharpens."""
 
     def loss(t: float) -> float:
         return float(-np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(ys)), ys], 1e-12)).mean())
 
-    a, b, g = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
+    a, b, g = 0.0, np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
@@ -215,7 +224,8 @@ def trained(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
     got = _paragraph_rows(labelled.orderBy(key, "doc_id").limit(sample_documents), "lang", "string", least_words).collect()
     order = {n: i for i, n in enumerate(NAMES)}
     rows = sorted(((r["doc_id"], r["lang"], r["words"]) for r in got), key=lambda r: (r[0], r[2]))
-    return fit([r[2] for r in rows], [order[r[1]] for r in rows], [zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows])
+    codes = [zlib.crc32(str(r[0]).encode()) for r in rows]
+    return fit([r[2] for r in rows], [order[r[1]] for r in rows], [c % 5 == 0 for c in codes], [c // 5 for c in codes])
 
 
 def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
