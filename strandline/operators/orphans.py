@@ -118,9 +118,9 @@ def _partitioned(refs: DataFrame, periods: DataFrame, schema: str, salts: int =
     total = refs.count()
     # at most 4 n keys can hold more than total / (4 n) rows
     hot = refs.groupBy("k").count().where(F.col("count") > max(1, total // (4 * n))).select("k", F.lit(True).alias("hot"))
-    salted = refs.join(F.broadcast(hot), "k", "left").select("k", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0).alias("s"), F.lit(1).alias("side"), "t", "id", F.lit(None).cast("bigint").alias("z"))
+    salted = refs.join(F.broadcast(hot), "k", "left").select("k", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0).cast("bigint").alias("s"), F.lit(1).alias("side"), "t", "id", F.lit(None).cast("bigint").alias("z"))
     repeated = periods.join(F.broadcast(hot), "k", "left").select(
-        "k", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).cast("bigint").alias("s"), F.lit(0).alias("side"), F.col("a").alias("t"), F.lit(None).cast("bigint").alias("id"), "z"
+        "k", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("s"), F.lit(0).alias("side"), F.col("a").alias("t"), F.lit(None).cast("bigint").alias("id"), "z"
     )
     together = repeated.unionByName(salted).repartitionByRange(n, "k", "s").sortWithinPartitions("k", "s", "side", "t")
 
