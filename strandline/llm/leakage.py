@@ -81,12 +81,13 @@ class ItemShingles:
                 yield int(a[0]), x
 
 
-def _item_rows(items: list[tuple[int, list[str]]], k: int, window: int) -> tuple[list, list]:
+def _item_rows(items: list[tuple[int, list[str]]], k: int) -> tuple[ItemShingles, list[tuple[int, int, int]]]:
+    """The items' shingles, and where each occurs: number of the item's text, position, key."""
     held = ItemShingles([ws for _, ws in items], k)
     spots = []
-    for item, ws in items:
+    for no, (_, ws) in enumerate(items):
         keys = _shingle_keys(np.fromiter((held.ids[w] for w in ws), np.int64, len(ws)), k)
-        spots += [(item, p, int(x)) for p, x in enumerate(keys)]
+        spots += [(no, p, int(x)) for p, x in enumerate(keys)]
     return held, spots
 
 
@@ -115,28 +116,28 @@ def _runs(docs: DataFrame, doc_id: str, text: str, held: ItemShingles, window: i
 
 def _leaks_of(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, list[str]]], window: int, k: int) -> DataFrame:
     spark = docs.sparkSession
-    held, spots = _item_rows(items, k, window)
+    held, spots = _item_rows(items, k)
     runs = checkpointed(_runs(docs, doc_id, text, held, window))
     per_window = window - k + 1
-    places = spark.createDataFrame(pa.table({"item_id": pa.array([s[0] for s in spots], pa.int64()), "spot": pa.array([s[1] for s in spots], pa.int32()), "key": pa.array([s[2] for s in spots], pa.int64())}))
-    texts = spark.createDataFrame(pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "item_words": pa.array([ws for _, ws in items], pa.list_(pa.string()))}))
+    places = spark.createDataFrame(pa.table({"no": pa.array([s[0] for s in spots], pa.int32()), "spot": pa.array([s[1] for s in spots], pa.int32()), "key": pa.array([s[2] for s in spots], pa.int64())}))
+    texts = spark.createDataFrame(pa.table({"no": pa.array(range(len(items)), pa.int32()), "item_id": pa.array([i for i, _ in items], pa.int64()), "item_words": pa.array([ws for _, ws in items], pa.list_(pa.string()))}))
     rarity = runs.select("doc_id", "part", F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     # every window of every item, by the shingles it needs; a shingle no part has makes the window impossible
     seen = places.join(rarity, "key")
     windows = (
-        seen.select("item_id", "spot", "key", "df", F.explode(F.sequence(F.greatest(F.col("spot") - (per_window - 1), F.lit(0)), F.col("spot"))).alias("window"))
-        .groupBy("item_id", "window")
+        seen.select("no", "spot", "key", "df", F.explode(F.sequence(F.greatest(F.col("spot") - (per_window - 1), F.lit(0)), F.col("spot"))).alias("window"))
+        .groupBy("no", "window")
         .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("df", "key", "spot")).alias("_r"))
         .where(F.col("_n") == per_window)
     )
-    prefixes = windows.groupBy(F.col("_r.key").alias("key"), "item_id", F.col("_r.spot").alias("spot")).agg(F.min("window").alias("first"), F.max("window").alias("last"))
+    prefixes = windows.groupBy(F.col("_r.key").alias("key"), "no", F.col("_r.spot").alias("spot")).agg(F.min("window").alias("first"), F.max("window").alias("last"))
     long_runs = runs.where(F.col("words").isNotNull())
     hits = long_runs.select("doc_id", F.size("words").alias("n"), "words", F.posexplode("keys").alias("at", "key"))
     hits = hits.join(prefixes, "key")
     # positional bound: some window with this prefix must start at or after the run and end within it
     begin = F.col("at") - F.col("spot")  # where the item's first word would be, counted in the run
     hits = hits.withColumn("_lo", F.greatest(F.col("first"), -begin)).withColumn("_hi", F.least(F.col("last"), F.col("n") - window - begin)).where(F.col("_lo") <= F.col("_hi"))
-    checked = hits.join(texts, "item_id").where(
+    checked = hits.join(texts, "no").where(
         F.exists(F.sequence("_lo", "_hi"), lambda w: F.slice("words", begin + w + 1, F.lit(window)) == F.slice("item_words", w + 1, F.lit(window)))
     )
     return checked.select("doc_id", "item_id").distinct()
