@@ -53,10 +53,12 @@ def depth_runs(alignments: DataFrame, *, name: str, start: str, cigar: str, flag
     tiles = events.groupBy("_n", "_t").agg(F.sum("_d").alias("_d"), F.sum("_a").alias("_a"), F.min("_p").alias("_first"))
     by_name = Window.partitionBy("_n").orderBy("_t")
     before = by_name.rowsBetween(Window.unboundedPreceding, -1)
-    null = F.lit(None).cast("bigint")
-    carried = tiles.select("_n", "_t", F.lit(0).alias("_o"), null.alias("_p"), F.coalesce(F.sum("_d").over(before), no).alias("_d"), F.coalesce(F.sum("_a").over(before), no).alias("_a"))
-    following = tiles.withColumn("_p", F.lead("_first").over(by_name)).where(F.col("_p").isNotNull()).select("_n", "_t", F.lit(2).alias("_o"), "_p", no.alias("_d"), no.alias("_a"))
-    lines = events.select("_n", "_t", F.lit(1).alias("_o"), "_p", "_d", "_a").unionByName(carried).unionByName(following)
+    # two rows a tile: what is open where it begins, and where the next tile's first event is
+    line = lambda o, p, d, a: F.struct(F.lit(o).alias("_o"), p.alias("_p"), d.alias("_d"), a.alias("_a"))
+    open_ = [F.coalesce(F.sum(c).over(before), no) for c in ("_d", "_a")]
+    edges = tiles.select("_n", "_t", *[c.alias(f"_w{i}") for i, c in enumerate((*open_, F.lead("_first").over(by_name)))])
+    edges = edges.select("_n", "_t", F.inline(F.array(line(0, F.lit(None).cast("bigint"), F.col("_w0"), F.col("_w1")), line(2, F.col("_w2"), no, no)))).where((F.col("_o") == 0) | F.col("_p").isNotNull())
+    lines = events.select("_n", "_t", F.lit(1).alias("_o"), "_p", "_d", "_a").unionByName(edges)
     order = Window.partitionBy("_n", "_t").orderBy("_o", "_p")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     runs = lines.select("_n", "_o", "_p", F.sum("_d").over(upto).alias("depth"), F.sum("_a").over(upto).alias("_open"), F.lead("_p").over(order).alias("_next")).where(F.col("_o") == 1)
