@@ -70,17 +70,16 @@ def sketch(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     ``counts`` has ``code`` and ``n``. In an exact level a cell is a node; in a sketched one it
     is ``row * WIDTH + column``.
     """
-    cells = []
-    for level in range(BITS):
-        node = F.shiftright("code", level)
-        if level >= SKETCHED:
-            cells.append(F.struct(F.lit(level).alias("level"), node.alias("cell"), F.col("n").alias("n")))
-            continue
-        for row in range(DEPTH):
-            h = F.xxhash64(node, F.lit(level), F.lit(row))
-            sign = F.when(F.shiftright(h, 40).bitwiseAND(1) == 1, F.col("n")).otherwise(-F.col("n"))
-            cells.append(F.struct(F.lit(level).alias("level"), (F.lit(row * WIDTH) + h.bitwiseAND(WIDTH - 1).cast("int")).alias("cell"), sign.alias("n")))
-    return counts.select(*group, F.inline(F.array(*cells))).groupBy(*group, "level", "cell").agg(F.sum("n").alias("n"))
+    # one row per level, in sketched levels one per level and row of the sketch
+    wide = counts.select(*group, "code", "n", F.explode(F.sequence(F.lit(0), F.lit(DEPTH * SKETCHED + BITS - SKETCHED - 1))).alias("_i"))
+    signed = F.col("_i") < DEPTH * SKETCHED
+    level = F.when(signed, F.floor(F.col("_i") / DEPTH).cast("int")).otherwise(F.col("_i") - (DEPTH - 1) * SKETCHED)
+    wide = wide.select(*group, "n", signed.alias("_signed"), level.alias("level"), (F.col("_i") % DEPTH).alias("_row"), F.call_function("shiftright", F.col("code"), level).alias("_node"))
+    h = F.xxhash64("_node", "level", "_row")
+    wide = wide.select(*group, "level", "n", "_signed", "_node", "_row", F.when(F.col("_signed"), h).alias("_h"))
+    cell = F.when(F.col("_signed"), F.col("_row") * WIDTH + F.col("_h").bitwiseAND(WIDTH - 1).cast("int")).otherwise(F.col("_node"))
+    n = F.when(F.col("_signed") & (F.shiftright("_h", 40).bitwiseAND(1) == 0), -F.col("n")).otherwise(F.col("n"))
+    return wide.select(*group, "level", cell.alias("cell"), n.alias("n")).groupBy(*group, "level", "cell").agg(F.sum("n").alias("n"))
 
 
 def merge(sketches: DataFrame, group: Sequence[str]) -> DataFrame:
