@@ -187,7 +187,7 @@ def read_gff(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAS
     cut = [r["file"] for r in raw.where(F.col("value").startswith("##FASTA")).select("file").distinct().collect()]
     plain = raw.where(~F.col("file").isin(cut)) if cut else raw
     if cut:
-        whole = spark.read.option("wholetext", True).text(cut).select(F.split(F.regexp_replace("value", r"(?s)(?:\A|\n)##FASTA.*", ""), "\r?\n").alias("ls"), F.col("_metadata.file_path").alias("file"))
+        whole = spark.read.text(cut, wholetext=True).select(F.split(F.regexp_replace("value", r"(?s)(?:\A|\n)##FASTA.*", ""), "\r?\n").alias("ls"), F.col("_metadata.file_path").alias("file"))
         plain = plain.unionByName(whole.select(F.explode("ls").alias("value"), "file"))
     return feature_columns(plain, kind="gff", mode=mode, keep=["file"])
 
