@@ -264,8 +264,14 @@ def write_lines(df: DataFrame, line: Column, path: str, *, header: str = "", mod
         def headed(batches):
             import pyarrow as pa
 
-            yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
-            yield from batches
+            first = True
+            for b in batches:
+                if first:
+                    yield pa.RecordBatch.from_arrays([pa.array([header])], schema=b.schema)
+                    first = False
+                yield b
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
 
         out = out.mapInArrow(headed, "value string")
     out.write.mode(mode).text(path)
