@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from strandline.sources.reserved import definition
+
 _TAG = re.compile(r"([A-Za-z][A-Za-z0-9]):(.*)", re.S)
 #: Fixed value: the fields that each record kind of an alignment header must have.
 _REQUIRED = {"HD": ["VN"], "SQ": ["SN", "LN"], "RG": ["ID"], "PG": ["ID"]}
@@ -181,9 +183,9 @@ class VcfHeader:
         return "".join(f"{x}\n" for x in lines)
 
     def type_of(self, kind: str, key: str) -> tuple[str, str]:
-        """Number and type of an INFO or FORMAT key; an undeclared key is one String."""
+        """Number and type of an INFO or FORMAT key: as declared, else as reserved in this version, else one String."""
         f = self.records[kind].get(key)
-        return (f["Number"], f["Type"]) if f else ("1", "String")
+        return (f["Number"], f["Type"]) if f else definition(kind, self.version, key) or ("1", "String")
 
     def string_map(self) -> dict[str, int]:
         """Numbers of FILTER, INFO and FORMAT ids in the binary format: ``PASS`` is 0, an ``IDX`` field is honoured."""
