@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.sources import bam, text
+from strandline.sources import bam, cram, text
 from strandline.sources.headers import SamHeader
 
 
@@ -38,10 +38,12 @@ def format_of(path: str) -> str:
         return detected(f.read(65536))
 
 
-def read_alignments(spark: SparkSession, path: str, *, region: str | None = None) -> DataFrame:
+def read_alignments(spark: SparkSession, path: str, *, region: str | None = None, reference: str | None = None) -> DataFrame:
     kind = format_of(path)
     if kind == "bam":
         return bam.read_bam(spark, path, region=region)
+    if kind == "cram":
+        return cram.read_cram(spark, path, reference=reference, region=region)
     if kind not in ("sam", "sam.gz"):
         raise ValueError(f"{kind} is not supported for alignments")
     df = text.read_sam(spark, path).drop("file")
@@ -56,10 +58,12 @@ def read_alignments(spark: SparkSession, path: str, *, region: str | None = None
 
 
 def write_alignments(df: DataFrame, path: str, header: SamHeader, *, fmt: str | None = None) -> None:
-    """A folder of files in ``fmt`` (``bam`` or ``sam``), by default after the ending of ``path``."""
+    """A folder of files in ``fmt`` (``bam``, ``cram`` or ``sam``), by default after the ending of ``path``."""
     fmt = fmt or path.rsplit(".", 1)[-1]
     if fmt == "bam":
         bam.write_bam(df, path, header)
+    elif fmt == "cram":
+        cram.write_cram(df, path, header)
     elif fmt == "sam":
         text.write_lines(df, text.sam_line(df), path, header=str(header).rstrip("\n"))
     else:
