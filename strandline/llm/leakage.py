@@ -131,15 +131,17 @@ def _leaks_of(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, li
         .where(F.col("_n") == per_window)
     )
     prefixes = windows.groupBy(F.col("_r.key").alias("key"), "no", F.col("_r.spot").alias("spot")).agg(F.min("window").alias("first"), F.max("window").alias("last"))
+    run = ["doc_id", "part", "start"]
     long_runs = runs.where(F.col("words").isNotNull())
-    hits = long_runs.select("doc_id", F.size("words").alias("n"), "words", F.posexplode("keys").alias("at", "key"))
-    hits = hits.join(prefixes, "key")
+    hits = long_runs.select(*run, F.size("words").alias("n"), F.posexplode("keys").alias("at", "key")).join(prefixes, "key")
     # positional bound: some window with this prefix must start at or after the run and end within it
     begin = F.col("at") - F.col("spot")  # where the item's first word would be, counted in the run
-    hits = hits.withColumn("_lo", F.greatest(F.col("first"), -begin)).withColumn("_hi", F.least(F.col("last"), F.col("n") - window - begin)).where(F.col("_lo") <= F.col("_hi"))
-    checked = hits.join(texts, "no").where(
-        F.exists(F.sequence("_lo", "_hi"), lambda w: F.slice("words", begin + w + 1, F.lit(window)) == F.slice("item_words", w + 1, F.lit(window)))
-    )
+    bounds = [F.greatest(F.col("first"), -begin).alias("_lo"), F.least(F.col("last"), F.col("n") - window - begin).alias("_hi")]
+    hits = hits.select(*run, "no", begin.alias("begin"), *bounds).where(F.col("_lo") <= F.col("_hi"))
+    # one candidate per run, item and alignment, however many of its shingles are prefixes; the words come last
+    candidates = hits.groupBy(*run, "no", "begin").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    checked = candidates.join(long_runs.select(*run, "words"), run).join(texts, "no")
+    checked = checked.where(F.exists(F.sequence("_lo", "_hi"), lambda w: F.slice("words", F.col("begin") + w + 1, F.lit(window)) == F.slice("item_words", w + 1, F.lit(window))))
     return checked.select("doc_id", "item_id").distinct()
 
 

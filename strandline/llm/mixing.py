@@ -124,11 +124,11 @@ def mix(counts: DataFrame, targets: DataFrame, *, total_tokens: float | None = N
     ``copies`` (1 .. ``max_repeats``), one row per document used. Report, one row per target: ``source``,
     ``target_share``, ``available_tokens``, ``selected_tokens``, ``reached_share``, ``repeats`` (selected by
     available), ``max_repeats``. Sources without a target and documents without a token are not used; NULL
-    targets count as 0. A source misses its budget by less than its largest document.
+    targets count as 0; a repeated row counts as a document of its own. A source misses its budget by less than its largest document.
     """
     spark = counts.sparkSession
     key = F.xxhash64("doc_id", F.lit(seed))
-    usable = counts.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).withColumn("_block", F.pmod(key, F.lit(blocks))).withColumn("_at", F.xxhash64(key, F.lit(1)))
+    usable = counts.select("doc_id", "source", "n_tokens").where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).withColumn("_block", F.pmod(key, F.lit(blocks))).withColumn("_at", F.xxhash64(key, F.lit(1)))
     goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
     # one row per source and block
     sized = usable.join(F.broadcast(goals.select("source")), "source", "left_semi").groupBy("source", "_block").agg(F.sum("n_tokens").alias("_m"))
