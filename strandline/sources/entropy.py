@@ -591,8 +591,12 @@ def decompress(method: int, data: bytes, size: int) -> bytes:
         out = nx16_decode(data)
     elif method == RANGE:
         out = range_decode(data)
+    elif method in (QUALITIES, NAMES):
+        from strandline.sources import record_codecs
+
+        out = record_codecs.scores_decode(data) if method == QUALITIES else record_codecs.names_decode(data)
     else:
-        raise NotImplementedError(f"block method {method} is not supported")
+        raise ValueError(f"invalid block method {method}")
     if len(out) != size:
         raise ValueError("a block has another size than it says")
     return out
