@@ -11,7 +11,7 @@ from strandline.functions import attributes as at
 from strandline.functions import bases, bins, flags, modifications, offsets, regions, tags, variants
 from strandline.functions import cigar as cg
 from strandline.operators import convert, depth, overlap, statistics
-from strandline.session import table
+from strandline.session import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -569,6 +569,100 @@ def sam_lines(spark, sf):
     return named.select("record_id", text.sam_line(named).alias("line"))
 
 
+_SAM_ROW_SQL = f"""
+select a.record_id, flags, d.name as rname, case when alignment_start > 0 then alignment_start end as pos, case when mapping_quality <> 255 then mapping_quality end as mapq, case when cigar not in ('', '*') then cigar end as cigar,
+  m.name as mate_rname, case when mate_alignment_start > 0 then mate_alignment_start end as mate_pos, coalesce(template_length, 0) as tlen, case when seq not in ('', '*') then seq end as seq,
+  case when quality_scores not in ('', '*') and length(quality_scores) = length(seq) then quality_scores end as qual
+from alignments a left join {_DICT} d on d.ref_id = a.reference_sequence_id left join {_DICT} m on m.ref_id = a.mate_reference_sequence_id"""
+
+
+def _typed_alignments(spark, sf):
+    """The table's records as typed alignment rows, named by their id; scores of another length than the bases are missing."""
+    s = _sequences(spark, sf)
+    mate = s.select(F.col("ref_id").alias("mate_id"), F.col("name").alias("mate_rname"))
+    a = _aln(spark, sf).join(s, F.col("reference_sequence_id") == F.col("ref_id"), "left").join(mate, F.col("mate_reference_sequence_id") == F.col("mate_id"), "left")
+    text_of = lambda c: F.when(~F.col(c).isin("", "*"), F.col(c))
+    above = lambda c: F.when(F.col(c) > 0, F.col(c))
+    return a.select(
+        F.col("record_id").cast("string").alias("name"), "flags", F.col("name").alias("rname"), above("alignment_start").alias("pos"), F.when(F.col("mapping_quality") != 255, F.col("mapping_quality")).alias("mapq"), text_of("cigar").alias("cigar"), "mate_rname",
+        above("mate_alignment_start").alias("mate_pos"), F.coalesce("template_length", F.lit(0)).alias("tlen"), text_of("seq").alias("seq"), F.when(F.length("quality_scores") == F.length("seq"), text_of("quality_scores")).alias("qual"),
+    )
+
+
+def _by_id(df):
+    return df.select(F.col("name").cast("bigint").alias("record_id"), *[c for c in df.columns if c not in ("name", "tags", "file")])
+
+
+@query(_SAM_ROW_SQL)
+def sam_text_roundtrip(spark, sf):
+    from strandline.sources import text
+
+    rows = _typed_alignments(spark, sf)
+    return _by_id(text.sam_columns(rows.select(text.sam_line(rows).alias("value"))))
+
+
+def _header(spark, sf):
+    """The dictionary as a header: one record per reference, collected (as any header is)."""
+    from strandline.sources.headers import SamHeader
+
+    refs = _sequences(spark, sf).orderBy("ref_id").collect()
+    return SamHeader(sequences={r["name"]: {"SN": r["name"], "LN": str(r["length"])} for r in refs})
+
+
+def _through_files(spark, sf, fmt):
+    from strandline.sources import alignments
+
+    rows = _typed_alignments(spark, sf).withColumn("tags", F.lit(None).cast(f"map<string,{tags.TAG_STRUCT}>"))
+    folder = scratch(spark, fmt)
+    alignments.write_alignments(rows, folder, _header(spark, sf), fmt=fmt)
+    return _by_id(alignments.read_alignments(spark, folder))
+
+
+@query(_SAM_ROW_SQL)
+def bam_file_roundtrip(spark, sf):
+    return _through_files(spark, sf, "bam")
+
+
+@query(
+    _SAM_ROW_SQL.replace("case when mapping_quality <> 255 then", "case when mapping_quality <> 255 and flags & 4 = 0 then").replace(
+        "case when cigar not in ('', '*') then cigar end as cigar", f"case when cigar not in ('', '*') and flags & 4 = 0 then nullif({_SPAN}, 0) end as span"
+    )
+)
+def cram_file_roundtrip(spark, sf):
+    """An unmapped record keeps neither CIGAR nor mapping quality in this format, and ``=`` and ``X`` join ``M``: the span stays."""
+    back = _through_files(spark, sf, "cram")
+    return back.select(*[cg.reference_span(F.col(c)).alias("span") if c == "cigar" else c for c in back.columns])
+
+
+@query("""
+select variant_id, reference_sequence_name as chrom, case when variant_start > 0 then variant_start end as pos, case when ids is null or ids in ('', '.') then 0 else len(string_split(ids, ';')) end as n_ids, reference_bases as ref,
+  case when alternate_bases is null or alternate_bases in ('', '.') then 0 else len(string_split(alternate_bases, ',')) end as n_alt, quality_score as qual, coalesce(filters = 'PASS', false) as pass from variants""")
+def vcf_text_roundtrip(spark, sf):
+    from strandline.sources import text
+
+    v = table(spark, sf, "variants")
+    rows = v.select(
+        F.col("reference_sequence_name").alias("chrom"), F.col("variant_start").alias("pos"), variants.ids(F.col("ids")).alias("ids"), F.col("reference_bases").alias("ref"), variants.alternate_bases(F.col("alternate_bases")).alias("alt"), F.col("quality_score").alias("qual"),
+        variants.filters(F.col("filters")).alias("filters"), F.create_map(F.lit("VID"), F.col("variant_id").cast("string")).alias("info"),
+    )
+    back = text.vcf_columns(rows.select(text.vcf_line(rows).alias("value")))
+    return back.select(variants.info_value(F.col("info"), "VID", "1", "String").cast("bigint").alias("variant_id"), "chrom", "pos", F.size("ids").alias("n_ids"), "ref", F.size("alt").alias("n_alt"), "qual", variants.is_pass(F.col("filters")).alias("pass"))
+
+
+@query("""
+select feature_id, reference_sequence_name as chrom, feature_start as start, feature_end as "end", case when feature_name not in ('', '.') then feature_name end as name, coalesce(score, 0) as score, case when strand in ('+', '-') then strand end as strand
+from features where feature_start >= 1 and feature_end >= feature_start and (strand is null or strand in ('+', '-', '.', ''))""")
+def bed_text_roundtrip(spark, sf):
+    from strandline.sources import text
+
+    f = table(spark, sf, "features").where((F.col("feature_start") >= 1) & (F.col("feature_end") >= F.col("feature_start")) & (F.col("strand").isNull() | F.col("strand").isin("+", "-", ".", "")))
+    name = F.when(F.col("feature_name") != "", F.col("feature_name"))
+    strand = F.when(F.col("strand") != "", F.col("strand"))
+    line = F.concat_ws("\t", text.bed_line(F.col("reference_sequence_name"), F.col("feature_start"), F.col("feature_end"), name, F.col("score"), strand), F.col("feature_id").cast("string"))
+    back = text.bed_columns(f.select(line.alias("value")))
+    return back.select(back["other"][0].cast("bigint").alias("feature_id"), "chrom", "start", "end", "name", "score", "strand")
+
+
 @query("select bin as event_window, event_type, n, total from (select time_bucket(interval '1 hour', ts) as bin, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2)")
 def event_windows(spark, sf):
     from strandline.streaming import windows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that other tasks read: in the shared checkpoint folder, or (where none is set) on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix=f"strandline-{name}-")
+    return f"{base.rstrip('/')}/strandline-{name}-{uuid.uuid4().hex}"
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting one row beyond."""
     return df.limit(rows + 1).count() <= rows

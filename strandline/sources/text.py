@@ -2,7 +2,8 @@
 
 Readers take a batch of paths; the ``*_columns`` functions work on any frame with a ``value`` column of
 lines, so they serve streams as well. ``mode="PERMISSIVE"`` turns an unreadable field into NULL and
-keeps the line in ``_corrupt``; ``mode="FAILFAST"`` raises.
+keeps the line in ``_corrupt``; ``mode="FAILFAST"`` raises where the first column of a malformed line is read
+(as column pruning drops the check with the column).
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ def _unless(c: Column, *missing: str) -> Column:
     return F.when(~c.isin(*missing), c)
 
 
-def _finish(df: DataFrame, bad: Column, mode: str, columns: list[Column], keep: list[str]) -> DataFrame:
+def _finish(df: DataFrame, bad: Column, mode: str, columns: list[Column], keep: list[str], *names: str) -> DataFrame:
     if mode == "FAILFAST":
-        value = F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("string"))
-        df = df.withColumn("_bad", value)
-        return df.where(F.col("_bad").isNull()).select(*columns, *keep)
+        # in the projection, where the split of the line is evaluated once; a filter would repeat it for every field
+        error = F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("string")
+        return df.select(F.when(bad, error).otherwise(columns[0]).alias(names[0]), *columns[1:], *keep)
     if mode != "PERMISSIVE":
         raise ValueError("mode is PERMISSIVE or FAILFAST")
     return df.select(*columns, *keep, F.when(bad, F.col("value")).alias("_corrupt"))
@@ -59,7 +60,7 @@ def sam_columns(df: DataFrame, *, mode: str = "FAILFAST", keep: list[str] | None
         _unless(_field(5), "*").alias("cigar"), F.when(_field(6) == "=", rname).otherwise(_unless(_field(6), "*")).alias("mate_rname"), F.when(ints[7] > 0, ints[7]).alias("mate_pos"), ints[8].cast("int").alias("tlen"),
         _unless(_field(9), "*").alias("seq"), _unless(_field(10), "*").alias("qual"), tags.tag_map(F.slice("_f", 12, 2**30)).alias("tags"),
     ]
-    return _finish(df, F.coalesce(bad, F.lit(True)), mode, columns, keep)
+    return _finish(df, F.coalesce(bad, F.lit(True)), mode, columns, keep, "name")
 
 
 def read_sam(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST") -> DataFrame:
@@ -94,7 +95,7 @@ def vcf_columns(df: DataFrame, *, mode: str = "FAILFAST", keep: list[str] | None
         _field(0).alias("chrom"), F.when(pos > 0, pos).alias("pos"), variants.ids(_field(2)).alias("ids"), _field(3).alias("ref"), variants.alternate_bases(_field(4)).alias("alt"), F.when(qual != ".", real).alias("qual"),
         variants.filters(_field(6)).alias("filters"), variants.info_map(_field(7)).alias("info"), F.when(F.size("_f") > 8, F.split(_field(8), ":")).alias("format"), samples.alias("samples"),
     ]
-    return _finish(df, F.coalesce(bad, F.lit(True)), mode, columns, keep)
+    return _finish(df, F.coalesce(bad, F.lit(True)), mode, columns, keep, "chrom")
 
 
 def read_vcf(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST") -> DataFrame:
@@ -135,7 +136,7 @@ def bed_columns(df: DataFrame, *, width: int = 6, mode: str = "FAILFAST", keep:
         bad = bad | ~_field(5).isin("+", "-", ".")
         columns.append(_unless(_field(5), ".").alias("strand"))
     columns.append(F.slice("_f", width + 1, 2**30).alias("other"))
-    return _finish(df, F.coalesce(bad, F.lit(True)), mode, columns, keep)
+    return _finish(df, F.coalesce(bad, F.lit(True)), mode, columns, keep, "chrom")
 
 
 def read_bed(spark: SparkSession, path: str | list[str], *, width: int = 6, mode: str = "FAILFAST") -> DataFrame:
@@ -174,7 +175,7 @@ def feature_columns(df: DataFrame, *, kind: str, mode: str = "FAILFAST", keep: l
         name(_field(0)).alias("seqid"), name(_unless(_field(1), ".")).alias("source"), name(_field(2)).alias("type"), start.alias("start"), end.alias("end"), F.when(_field(5) != ".", score).alias("score"),
         _unless(_field(6), ".").alias("strand"), F.when(_field(7) != ".", phase).alias("phase"), parsed.alias("attributes"),
     ]
-    return _finish(df, F.coalesce(bad, F.lit(True)), mode, columns, keep)
+    return _finish(df, F.coalesce(bad, F.lit(True)), mode, columns, keep, "seqid")
 
 
 def read_gff(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST") -> DataFrame:
