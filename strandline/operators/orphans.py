@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.sweep import covered_and_gaps
@@ -78,37 +78,68 @@ def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [np.asarray(batch.column(n).fill_null(0).cast(pa.int64())) for n in names]
 
 
-def _times(df: DataFrame, at: str) -> tuple:
+def _times(at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp"))
 
 
+def _held(parents: DataFrame, key: str, added: str, removed: str, max_rows: int) -> SortedParents | None:
+    """The sorted arrays of a parent table, or None if they are more than ``max_rows``."""
+    periods = lifetimes(parents, key, added, removed)
+    if not within(periods, max_rows):
+        return None
+    got = periods.toArrow()
+    return SortedParents(*[np.asarray(got.column(c)) for c in ("k", "a", "z")])
+
+
 def orphan_references(
-    references: DataFrame, parents: DataFrame, *, record_id: str, field: str, at: str, key: str, added: str = "added_at", removed: str = "removed_at", max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    references: DataFrame, parents: dict[str, tuple[DataFrame, str]], *, record_id: str, at: str, added: str = "added_at", removed: str = "removed_at", max_broadcast_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    """The references of ``field`` for which no parent row was valid at the time ``at``.
+    """The references for which no parent row was valid at the time ``at``, of all given fields in one scan.
 
-    Output: ``record_id``, ``field_name``, ``key`` and ``at``, one row per orphan. A reference is
-    a value that is neither NULL nor negative; with a NULL time no parent is valid, so it is an
-    orphan. Parents with a NULL key or NULL ``added`` are never valid. Records are reported as
-    often as they occur; an empty parent table makes every reference an orphan.
+    ``parents``: per reference field its parent table and the key column there. Output:
+    ``record_id``, ``field_name``, ``key`` and ``at``, one row per orphan. A reference is a value that is neither NULL
+    nor negative; with a NULL time no parent is valid, so it is an orphan. Parents with a NULL key or NULL
+    ``added`` are never valid. Records are reported as often as they occur; an empty parent table makes every
+    reference an orphan. ``max_broadcast_rows`` bounds each field's parents that a task holds.
     """
-    refs = references.where(F.col(field) >= 0).select(F.col(record_id).cast("bigint").alias("id"), F.col(field).cast("bigint").alias("k"), _times(references, at).alias("t"))
-    periods = lifetimes(parents, key, added, removed)
-    schema = "id bigint, k bigint, t bigint"
-    if within(periods, max_broadcast_rows):
-        got = periods.toArrow()
-        held = references.sparkSession.sparkContext.broadcast(SortedParents(*[np.asarray(got.column(c)) for c in ("k", "a", "z")]))
-
-        def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                k, t = _arrays(b, "k", "t")
-                miss = held.value.missing(k, t) | np.asarray(b.column("t").is_null())
-                yield b.filter(pa.array(miss))
-
-        found = refs.mapInArrow(probe, schema)
-    else:
-        found = _partitioned(refs, periods, schema)
-    return found.select(F.col("id").alias("record_id"), F.lit(field).alias("field_name"), F.col("k").alias("key"), F.timestamp_micros("t").alias("at"))
+    small: dict[str, SortedParents] = {}
+    out: DataFrame | None = None
+    for field, (table, key) in parents.items():
+        held = _held(table, key, added, removed, max_broadcast_rows)
+        if held is not None:
+            small[field] = held
+            continue
+        refs = references.where(F.col(field) >= 0).select(F.col(record_id).cast("bigint").alias("id"), F.col(field).cast("bigint").alias("k"), _times(at).alias("t"))
+        found = _partitioned(refs, lifetimes(table, key, added, removed), "id bigint, k bigint, t bigint").select("id", F.lit(field).alias("field"), "k", "t")
+        out = found if out is None else out.unionByName(found)
+    if small:
+        found = _probed(references, small, record_id, at)
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("id").alias("record_id"), F.col("field").alias("field_name"), F.col("k").alias("key"), F.timestamp_micros("t").alias("at"))
+
+
+def _probed(references: DataFrame, held: dict[str, SortedParents], record_id: str, at: str) -> DataFrame:
+    """Every task holds the parents; the references are scanned once and not shuffled."""
+    fields = list(held)
+    shared = references.sparkSession.sparkContext.broadcast(held)
+    some = F.lit(False)
+    for f in fields:
+        some = some | (F.col(f) >= 0)
+    refs = references.where(some).select(F.col(record_id).cast("bigint").alias("id"), _times(at).alias("t"), *[F.col(f).cast("bigint").alias(f"k{i}") for i, f in enumerate(fields)])
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (t,) = _arrays(b, "t")
+            timeless = np.asarray(b.column("t").is_null())
+            for i, f in enumerate(fields):
+                column = b.column(f"k{i}")
+                k = np.asarray(column.fill_null(-1).cast(pa.int64()))
+                miss = np.flatnonzero((k >= 0) & (shared.value[f].missing(k, t) | timeless))
+                if len(miss):
+                    at_ = pa.array(miss)
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(at_), pa.array([f] * len(miss)), column.take(at_), b.column("t").take(at_)], ["id", "field", "k", "t"])
+
+    return refs.mapInArrow(probe, "id bigint, field string, k bigint, t bigint")
 
 
 def _partitioned(refs: DataFrame, periods: DataFrame, schema: str, salts: int = 64) -> DataFrame:

@@ -35,16 +35,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     sequences, groups = table(spark, sf, "reference_sequences"), table(spark, sf, "read_groups")
-    out = None
-    for name, record_id, field, parents in (
-        ("alignments", "record_id", "reference_sequence_id", sequences),
-        ("alignments", "record_id", "read_group_id", groups),
-        ("slices", "slice_id", "reference_sequence_id", sequences),
-    ):
-        found = orphans.orphan_references(table(spark, sf, name), parents, record_id=record_id, field=field, at="loaded_at", key=field)
-        found = found.withColumn("table_name", F.lit(name))
-        out = found if out is None else out.unionByName(found)
-    return out
+    of_alignments = {"reference_sequence_id": (sequences, "reference_sequence_id"), "read_group_id": (groups, "read_group_id")}
+    of_slices = {"reference_sequence_id": (sequences, "reference_sequence_id")}
+    a = orphans.orphan_references(table(spark, sf, "alignments"), of_alignments, record_id="record_id", at="loaded_at")
+    s = orphans.orphan_references(table(spark, sf, "slices"), of_slices, record_id="slice_id", at="loaded_at")
+    return a.withColumn("table_name", F.lit("alignments")).unionByName(s.withColumn("table_name", F.lit("slices")))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ def day(n):
 def run(spark, refs, parents, **how):
     r = spark.createDataFrame([(i, k, day(t), "x") for i, (k, t) in enumerate(refs)], "rid bigint, k int, at timestamp, id string")
     p = spark.createDataFrame([(k, day(a), day(z), 1) for k, a, z in parents], "k int, added_at timestamp, removed_at timestamp, t int")
-    return orphan_references(r, p, record_id="rid", field="k", at="at", key="k", **how)
+    return orphan_references(r, {"k": (p, "k")}, record_id="rid", at="at", **how)
 
 
 def brute(refs, parents):
@@ -39,6 +39,15 @@ def test_empty_sides_and_bounds_of_lifetimes(spark, bound):
     assert sorted(r["record_id"] for r in got.collect()) == [0, 3]
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 3, 0])
+def test_several_fields_in_one_scan(spark, bound):
+    refs = spark.createDataFrame([(1, 1, 9, day(3)), (2, None, 1, day(3)), (3, 2, -1, day(3)), (None, 1, 1, None)], "rid bigint, x int, y int, at timestamp")
+    xs = spark.createDataFrame([(1, day(0), None)], "id int, added_at timestamp, removed_at timestamp")
+    ys = spark.createDataFrame([(k, day(0), None) for k in (1, 2, 3, 4)], xs.schema)
+    got = orphan_references(refs, {"x": (xs, "id"), "y": (ys, "id")}, record_id="rid", at="at", max_broadcast_rows=bound)
+    assert sorted(map(str, ((r["record_id"], r["field_name"], r["key"]) for r in got.collect()))) == sorted(map(str, [(1, "y", 9), (3, "x", 2), (None, "x", 1), (None, "y", 1)]))
+
+
 def test_counts_by_month(spark):
     got = orphan_counts(run(spark, [(1, 0), (1, 3), (1, 40), (1, None)], []), ["field_name"])
     assert {(r["field_name"], r["month"], r["orphans"]) for r in got.collect()} == {("k", "2024-01", 2), ("k", "2024-02", 1), ("k", None, 1)}
