@@ -228,8 +228,9 @@ def trained(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
     return fit([r[2] for r in rows], [order[r[1]] for r in rows], [c % 5 == 0 for c in codes], [c // 5 for c in codes])
 
 
-def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Every passage of running text: ``doc_id``, ``passage`` (number in the document), ``n_words``, ``lang``, ``confidence``.
+def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", least_words: int = LEAST_WORDS) -> DataFrame:
+    """Every passage of running text: ``doc_id``, ``label_lang`` (what the document's label names, or NULL), ``passage``
+    (number in the document), ``n_words``, ``lang``, ``confidence``.
 
     Documents without such a passage, with a NULL id or text give no rows.
     """
@@ -238,21 +239,24 @@ def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            ids, number, sizes, passages = [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids, labels, number, sizes, passages = [], [], [], [], []
+            for d, named, t in zip(*(c.to_pylist() for c in b.columns)):
                 if d is None:
                     continue
                 for i, ws in enumerate(paragraphs(t, least_words)):
                     ids.append(d)
+                    labels.append(named)
                     number.append(i)
                     sizes.append(len(ws))
                     passages.append(ws)
             p = scorer.probabilities(passages)
             best = p.argmax(axis=1)
             names = pa.array(NAMES).take(pa.array(best, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(sizes, pa.int32()), names, pa.array(p.max(axis=1) if len(p) else [], pa.float64())], ["doc_id", "passage", "n_words", "lang", "confidence"])
+            columns = [pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(number, pa.int32()), pa.array(sizes, pa.int32()), names, pa.array(p.max(axis=1) if len(p) else [], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label_lang", "passage", "n_words", "lang", "confidence"])
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(score, "doc_id bigint, passage int, n_words int, lang string, confidence double")
+    staged = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), label_language(F.col(label)).alias("label_lang"), F.col(text).alias("text"))
+    return staged.mapInArrow(score, "doc_id bigint, label_lang string, passage int, n_words int, lang string, confidence double")
 
 
 def document_languages(passages: DataFrame) -> DataFrame:
@@ -262,8 +266,6 @@ def document_languages(passages: DataFrame) -> DataFrame:
     return per.join(all_, "doc_id").select("doc_id", "lang", "n_words", (F.col("n_words") / F.col("_all")).alias("share"), "confidence")
 
 
-def unlabelled_languages(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id", label: str = "lang") -> DataFrame:
+def unlabelled_languages(passages: DataFrame) -> DataFrame:
     """``doc_id`` and ``lang`` of the languages of passages that the document's label does not name."""
-    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), label_language(F.col(label)).alias("_named"))
-    found = passages.select("doc_id", "lang").distinct()
-    return found.join(named, "doc_id").where(~F.col("lang").eqNullSafe(F.col("_named"))).select("doc_id", "lang").distinct()
+    return passages.where(~F.col("lang").eqNullSafe(F.col("label_lang"))).select("doc_id", "lang").distinct()

@@ -137,7 +137,7 @@ def _passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return languages.unlabelled_languages(table(spark, sf, "documents"), _passages(spark, sf))
+    return languages.unlabelled_languages(_passages(spark, sf))
 
 
 def p10_passages(spark: SparkSession, sf: str) -> DataFrame:

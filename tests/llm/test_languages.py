@@ -51,7 +51,7 @@ def test_wrong_labels_are_outvoted_and_mixed_documents_found(spark, model):
     want = {(i, truth) for i, _, _, truth in data[:90]} | {(900, "en"), (900, "ru")}
     assert len(got & want) >= 0.98 * len(want) and len(got) <= len(want) + 2
     assert all(0 < r["confidence"] <= 1 for r in passages.collect())
-    found = {tuple(r) for r in L.unlabelled_languages(df, passages).collect()}
+    found = {tuple(r) for r in L.unlabelled_languages(passages).collect()}
     assert (900, "ru") in found and (900, "en") not in found
     assert {d for d, _ in found if d < 900} == {i for i, _, label, truth in data[:90] if label != truth}
     per = {(r["doc_id"], r["lang"]): r for r in L.document_languages(passages).collect()}
