@@ -393,9 +393,9 @@ def split_by_read_group(spark, sf):
     return split.groupBy("read_group_name").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("select file_id, loaded_at from alignments union all select file_id, loaded_at from slices union all select file_id, loaded_at from features")
+@query(" union all ".join(f"select file_id, epoch_us(loaded_at) as loaded_us from {t}" for t in ("alignments", "slices", "features")))
 def cat_union(spark, sf):
-    a, b, c = (table(spark, sf, t).select("file_id", "loaded_at") for t in ("alignments", "slices", "features"))
+    a, b, c = (table(spark, sf, t).select("file_id", F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("loaded_us")) for t in ("alignments", "slices", "features"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -663,9 +663,11 @@ def bed_text_roundtrip(spark, sf):
     return back.select(back["other"][0].cast("bigint").alias("feature_id"), "chrom", "start", "end", "name", "score", "strand")
 
 
-@query("select bin as event_window, event_type, n, total from (select time_bucket(interval '1 hour', ts) as bin, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2)")
+@query("""
+select strftime(bin, '%Y-%m-%d %H:%M:%S') as event_window, event_type, n, total
+from (select time_bucket(interval '1 hour', make_timestamp(epoch_us(ts))) as bin, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2)""")
 def event_windows(spark, sf):
     from strandline.streaming import windows
 
-    e = windows.windowed_counts(table(spark, sf, "events"), time="ts", key="event_type", value="value", width="1 hour")
-    return e.select("event_window", "event_type", "n", F.round("total", 4).alias("total"))
+    e = windows.windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), time="ts", key="event_type", value="value", width="1 hour")
+    return e.select(F.date_format("event_window", "yyyy-MM-dd HH:mm:ss").alias("event_window"), "event_type", "n", F.round("total", 4).alias("total"))

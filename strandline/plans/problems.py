@@ -137,7 +137,7 @@ union all select file_id, reference_sequence_name, 'gap', z + 1, following - 1 f
     "p3_found": _P3_ALL,
     "p3_report": f"""
 with o as ({_P3_ALL})
-select table_name, field_name, strftime(loaded_at, '%Y-%m') as month, count(*) as orphans
+select table_name, field_name, strftime(make_timestamp(epoch_us(loaded_at)), '%Y-%m') as month, count(*) as orphans
 from (select o.*, coalesce(a.loaded_at, s.loaded_at) as loaded_at from o
       left join alignments a on o.table_name = 'alignments' and a.record_id = o.record_id
       left join slices s on o.table_name = 'slices' and s.slice_id = o.record_id)

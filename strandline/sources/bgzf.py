@@ -163,3 +163,10 @@ def gzi_position(index: list[tuple[int, int]], uncompressed: int) -> int:
     at = bisect.bisect_right(index, uncompressed, key=lambda x: x[1]) - 1
     c, u = index[at] if at >= 0 else (0, 0)
     return c << 16 | (uncompressed - u)
+
+
+def read_at(f: BinaryIO, index: list[tuple[int, int]], offset: int, length: int) -> bytes:
+    """``length`` uncompressed bytes from an uncompressed offset on, without reading what lies before."""
+    r = Reader(f)
+    r.seek(gzi_position(index, offset))
+    return r.read(length)

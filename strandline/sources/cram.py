@@ -716,6 +716,16 @@ def build_crai(path: str, reference: str | None = None) -> list[tuple[int, int,
     return out
 
 
+def write_crai(path: str, reference: str | None = None) -> str:
+    """Index a file beside it."""
+    import gzip
+
+    rows = build_crai(path, reference)
+    with gzip.open(f"{path}.crai", "wt") as f:
+        f.writelines("\t".join(map(str, r)) + "\n" for r in rows)
+    return f"{path}.crai"
+
+
 def _read(f, c: Container) -> bytes:
     f.seek(c.offset)
     raw = f.read(c.size)

@@ -182,6 +182,14 @@ class VcfHeader:
         lines.append("\t".join([*VCF_COLUMNS, *(["FORMAT", *self.samples] if self.samples else [])]))
         return "".join(f"{x}\n" for x in lines)
 
+    def insert(self, kind: str, fields: dict[str, str] | str) -> None:
+        """Add a record (fields of ``INFO``, ``FORMAT``, ``FILTER``, ``ALT`` or ``contig``, or the text of another kind); a repeated id raises."""
+        if isinstance(fields, str):
+            self._record(f"{kind}={fields}")
+            return
+        quoted = ",".join(f'{k}="{v}"' if k in ("Description", "Source", "Version") else f"{k}={v}" for k, v in fields.items())
+        self._record(f"{kind}=<{quoted}>")
+
     def type_of(self, kind: str, key: str) -> tuple[str, str]:
         """Number and type of an INFO or FORMAT key: as declared, else as reserved in this version, else one String."""
         f = self.records[kind].get(key)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import attributes as at
-from strandline.functions import bases, tags, variants
+from strandline.functions import bases, tags, validate, variants
 from strandline.functions import cigar as cg
 
 TAB = "\t"
@@ -67,11 +67,24 @@ def read_sam(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAS
     return sam_columns(lines(spark, path), mode=mode, keep=["file"])
 
 
-def sam_line(df: DataFrame) -> Column:
-    """The line of an alignment row (columns as ``read_sam`` gives them; ``tags`` may be absent)."""
+def sam_line(df: DataFrame, *, strict: bool = False) -> Column:
+    """The line of an alignment row (columns as ``read_sam`` gives them; ``tags`` may be absent).
+
+    ``strict`` raises for names, bases and scores that the format can't hold, and for a CIGAR of another read length.
+    """
     star = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), "*").otherwise(F.col(c))
     number = lambda c, d: F.greatest(F.coalesce(F.col(c), F.lit(d)), F.lit(0)).cast("string")
     mate = F.when(F.col("mate_rname").isNull(), "*").when(F.col("mate_rname") == F.col("rname"), "=").otherwise(F.col("mate_rname"))
+    if strict:
+        name, seq, qual, ops = (F.col(c) for c in ("name", "seq", "qual", "cigar"))
+        fits = seq.isNull() | (seq == "") | (cg.read_length(ops) == 0) | (cg.read_length(ops) == F.length(seq))
+        star_of = {
+            "name": validate.checked(name, validate.is_read_name(name), "read name"),
+            "seq": validate.checked(seq, validate.is_sequence(seq), "sequence"),
+            "qual": validate.checked(qual, validate.is_quality(qual, seq) | (qual == ""), "quality scores"),
+            "cigar": validate.checked(ops, F.coalesce(cg.is_valid(ops) & fits, F.lit(False)) | (ops == ""), "CIGAR"),
+        }
+        star = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), "*").otherwise(star_of.get(c, F.col(c)))
     fields = [star("name"), F.col("flags").cast("string"), star("rname"), number("pos", 0), number("mapq", 255), star("cigar"), mate, number("mate_pos", 0), F.coalesce("tlen", F.lit(0)).cast("string"), star("seq"), star("qual")]
     body = F.concat_ws(TAB, *fields)
     if "tags" not in df.columns:

@@ -1,8 +1,9 @@
 import hashlib
+import os
 
 import pytest
 
-from strandline.sources import alignments, bam, cram, entropy
+from strandline.sources import alignments, bam, cram, entropy, sequences
 from strandline.sources.entropy import itf8
 from strandline.sources.headers import SamHeader
 from tests.test_formats import SAM, rows
@@ -44,6 +45,8 @@ def test_source_regions_and_index(spark, tmp_path):
     near = sorted(r[0] for r in data if r[2] == "sq1" and r[3] <= 20000 and r[3] + span[r[5]] - 1 >= 1000)
     assert sorted(r["name"] for r in alignments.read_alignments(spark, p, region="sq1:1000-20000").collect()) == near
     index = cram.build_crai(p)
+    os.rename(cram.write_crai(p), tmp_path / "a.crai.gz")
+    assert sequences.read_crai(spark, str(tmp_path / "a.crai.gz")).count() == len(index)
     assert {r[0] for r in index} == {0, 1, -1} and sum(r[0] == 1 for r in index) == 9
     alignments.write_alignments(df.repartition(2), str(tmp_path / "o.cram"), HEADER)
     assert alignments.read_alignments(spark, str(tmp_path / "o.cram")).count() == len(data)

@@ -28,6 +28,7 @@ def test_blocks_seek_and_index():
         r = bgzf.Reader(io.BytesIO(f.getvalue()))
         r.seek(bgzf.gzi_position(index, at))
         assert r.read(5) == data[at : at + 5]
+    assert bgzf.read_at(io.BytesIO(f.getvalue()), index, 123_456, 1000) == data[123_456:124_456]
     assert len(list(bgzf.block_offsets(io.BytesIO(f.getvalue())))) == len(w.index) + 1
     broken = bytearray(f.getvalue())
     broken[-len(bgzf.EOF) - 8] ^= 1
@@ -135,12 +136,27 @@ def test_sam_text(spark, tmp_path):
     assert [r["_corrupt"] is not None for r in text.read_sam(spark, bad, mode="PERMISSIVE").collect()] == [True, True]
 
 
+def test_strict_lines(spark):
+    schema = "name string, flags int, rname string, pos bigint, mapq smallint, cigar string, mate_rname string, mate_pos bigint, tlen int, seq string, qual string"
+    good = ("r1", 0, "sq0", 1, 3, "4M", None, None, 0, "ACGT", "IIII")
+    line = lambda row: (df := spark.createDataFrame([row], schema)).select(text.sam_line(df, strict=True)).collect()[0][0]
+    assert line(good).split("\t")[5] == "4M" and line(("r1", 4, None, None, None, None, None, None, None, None, None)).endswith("\t*\t*")
+    for at, bad, what in ((0, "a@b", "read name"), (0, "x" * 255, "read name"), (9, "AC!T", "sequence"), (10, "III", "quality"), (5, "5M", "CIGAR"), (5, "M", "CIGAR")):
+        with pytest.raises(Exception, match=f"invalid {what}"):
+            line((*good[:at], bad, *good[at + 1 :]))
+
+
 def test_vcf_text(spark, tmp_path):
     head = '##fileformat=VCFv4.3\n##INFO=<ID=DP,Number=1,Type=Integer,Description="a, \\"b\\"">\n##FILTER=<ID=q10,Description="x">\n##contig=<ID=sq0,length=8>\n##source=me\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0\ts1\n'
     body = ["sq0\t1\t.\tA\tC,G\t30.5\tPASS\tDP=5;DB\tGT:GQ\t0|1:13\t.", "sq0\t0\ta;b\tA\t.\t.\t.\t.\tGT\t./.\t0/1"]
     p = put(tmp_path, "a.vcf", head + "\n".join(body) + "\n")
     h = VcfHeader.parse(head)
     assert str(VcfHeader.parse(str(h))) == str(h) and h.samples == ["s0", "s1"] and h.type_of("INFO", "DP") == ("1", "Integer") and h.string_map() == {"PASS": 0, "q10": 1, "DP": 2}
+    h.insert("FILTER", {"ID": "q20", "Description": "y"})
+    h.insert("source", "you")
+    assert "q20" in VcfHeader.parse(str(h)).records["FILTER"] and h.other[-1] == ("source", "you")
+    with pytest.raises(ValueError, match="repeated"):
+        h.insert("FILTER", {"ID": "q20", "Description": "y"})
     got = sorted(text.read_vcf(spark, p).collect(), key=lambda r: r["pos"] or 0)
     assert got[0]["pos"] is None and got[0]["ids"] == ["a", "b"] and got[0]["alt"] == [] and got[0]["qual"] is None
     assert got[1]["info"] == {"DP": "5", "DB": None} and got[1]["samples"] == [{"GT": "0|1", "GQ": "13"}, {}]

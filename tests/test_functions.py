@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import attributes as at
-from strandline.functions import bases, bins, flags, modifications, offsets, regions, tags, variants
+from strandline.functions import bases, bins, flags, modifications, offsets, regions, tags, validate, variants
 from strandline.functions import cigar as cg
 
 
@@ -102,3 +102,10 @@ def test_offsets(spark):
     got = one(spark, [(2**40, 65535), (0, 0)], "c bigint, u int", offsets.unpacked(offsets.virtual_position(c("c"), c("u"))))
     assert [tuple(x) for x in got] == [(2**40, 65535), (0, 0)]
     assert one(spark, [(1,), (80,), (81,)], "s bigint", offsets.fai_offset(F.lit(5), F.lit(80), F.lit(81), c("s"))) == [5, 84, 86]
+
+
+def test_validators(spark):
+    n = F.col("n")
+    rows = [("sq0",), ("*x",), ("=x",), ("a*",), ("a,b",), ("",), ("HLA-A*01:01",)]
+    assert one(spark, rows, "n string", validate.is_reference_name(n)) == [True, False, False, True, False, False, True]
+    assert one(spark, [("a b",), ("",), ("x" * 256,), ("é",)], "n string", validate.is_feature_name(n)) == [True, False, False, False]
