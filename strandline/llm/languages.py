@@ -92,20 +92,71 @@ class Scorer:
             self.vectors[n] = 0
         return n
 
+    def _ids(self, ws: list[str]) -> list[int]:
+        get, number = self.at.get, self._number
+        return [i if (i := get(w)) is not None else number(w) for w in ws]
+
+    def segments(self, ws: list[str], *, window: int = 5, least: int = 4, switch: float = -6.0) -> list[tuple[int, int, int, float]]:
+        """Runs of words of one language: first word, number of words, language, confidence.
+
+        Every word gets the probabilities of the window around it; where all windows agree the passage is one
+        run, else the best sequence is sought in which a change of language costs ``switch`` (log probability) and runs
+        shorter than ``least`` words fall to the one before (or after, at the start).
+        """
+        if len(self.at) > self.keep:
+            self.at.clear()
+        ids = self._ids(ws)
+        v = self.vectors[np.array(ids, np.int64)]
+        total = np.concatenate((np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)))
+        n, half = len(ws), window // 2
+        lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
+        p = self._softmax(total[hi] - total[lo])
+        whole = self._softmax(total[-1:])[0]
+        known = total[hi][:, -1] - total[lo][:, -1] > 0
+        if (p.argmax(axis=1)[known] == whole.argmax()).all():
+            return [(0, n, int(whole.argmax()), float(whole.max()))]
+        score = np.log(np.maximum(p, 1e-9))
+        best, back = score[0], np.zeros((n, score.shape[1]), np.int64)
+        for i in range(1, n):
+            top = best.argmax()
+            stay = best >= best[top] + switch
+            back[i] = np.where(stay, np.arange(len(best)), top)
+            best = np.where(stay, best, best[top] + switch) + score[i]
+        path = [int(best.argmax())]
+        for i in range(n - 1, 0, -1):
+            path.append(int(back[i][path[-1]]))
+        path.reverse()
+        cuts = [0, *[i for i in range(1, n) if path[i] != path[i - 1]], n]
+        runs = [[a, z, path[a]] for a, z in zip(cuts, cuts[1:])]
+        joined: list[list[int]] = []
+        for r in runs:
+            if joined and (r[1] - r[0] < least or r[2] == joined[-1][2]):
+                joined[-1][1] = r[1]
+            elif joined and joined[-1][1] - joined[-1][0] < least:
+                joined[-1][1:] = r[1:]
+            else:
+                joined.append(r)
+        out = []
+        for a, z, lang in joined:
+            q = self._softmax(total[z : z + 1] - total[a : a + 1])[0]
+            out.append((a, z - a, lang, float(q[lang])))
+        return out
+
+    def _softmax(self, sums: np.ndarray) -> np.ndarray:
+        logits = self.model.scale * sums[:, :-1] / np.maximum(sums[:, -1:], 1e-9) + self.model.bias
+        return softmax(logits / self.model.temperature)
+
     def probabilities(self, passages: Sequence[list[str]]) -> np.ndarray:
         if not passages:
             return np.zeros((0, len(self.model.bias)))
         if len(self.at) > self.keep:
             self.at.clear()
-        get, number = self.at.get, self._number
         ids: list[int] = []
         starts = []
         for ws in passages:
             starts.append(len(ids))
-            ids += [i if (i := get(w)) is not None else number(w) for w in ws]
-        sums = np.add.reduceat(self.vectors[np.array(ids, np.int64)], np.array(starts), axis=0)
-        logits = self.model.scale * sums[:, :-1] / np.maximum(sums[:, -1:], 1e-9) + self.model.bias
-        return softmax(logits / self.model.temperature)
+            ids += self._ids(ws)
+        return self._softmax(np.add.reduceat(self.vectors[np.array(ids, np.int64)], np.array(starts), axis=0))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -259,6 +310,29 @@ def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
     return staged.mapInArrow(score, "doc_id bigint, label_lang string, passage int, n_words int, lang string, confidence double")
 
 
+def passage_segments(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """Runs of one language inside every passage of running text: ``doc_id``, ``passage``, ``segment`` (number in the
+    passage), ``first_word`` (from 0), ``n_words``, ``lang``, ``confidence``. A passage in one language is one segment."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "passage", "segment", "first_word", "n_words", "lang", "confidence"]
+    types = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.float64()]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            rows = [
+                (d, i, k, first, n, NAMES[lang], confidence)
+                for d, t in zip(*(c.to_pylist() for c in b.columns))
+                if d is not None
+                for i, ws in enumerate(paragraphs(t, least_words))
+                for k, (first, n, lang, confidence) in enumerate(scorer.segments(ws))
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(split, "doc_id bigint, passage int, segment int, first_word int, n_words int, lang string, confidence double")
+
+
 def document_languages(passages: DataFrame) -> DataFrame:
     """One row per document and language: ``doc_id``, ``lang``, ``n_words``, ``share`` of the words, ``confidence`` (word-weighted mean)."""
     per = passages.groupBy("doc_id", "lang").agg(F.sum("n_words").alias("n_words"), (F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words")).alias("confidence"))

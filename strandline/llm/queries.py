@@ -144,6 +144,12 @@ def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
     return _passages(spark, sf)
 
 
+def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of one language inside the passages."""
+    docs = table(spark, sf, "documents")
+    return languages.passage_segments(docs, languages.trained(docs))
+
+
 def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
     return languages.document_languages(_passages(spark, sf))
 
@@ -161,6 +167,7 @@ QUERIES = {
     "p9_shares_flattened": p9_shares_flattened,
     "p10_found": p10_found,
     "p10_passages": p10_passages,
+    "p10_segments": p10_segments,
     "p10_documents": p10_documents,
 }
 

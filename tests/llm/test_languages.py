@@ -72,3 +72,13 @@ def test_scorer_equals_plain_features(model):
     v = c * model.idf[i]
     logits = model.scale * v / v.sum() @ model.weights[i] + model.bias
     assert np.allclose(p, L.softmax(logits[None] / model.temperature)[0])
+
+
+def test_segments_of_a_mixed_passage(spark, model):
+    en, ru, de = (SAMPLES[k].split() for k in ("en", "ru", "de"))
+    text = "a: b\n\n" + " ".join([*en, *ru[:8], *en]) + "\n\n" + " ".join(de)
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (None, text, "z")], "doc_id bigint, text string, segment string")
+    got = sorted(tuple(r) for r in L.passage_segments(df, model).collect())
+    assert [(g[1], g[2], g[5]) for g in got] == [(0, 0, "en"), (0, 1, "ru"), (0, 2, "en"), (1, 0, "de")]
+    assert sum(g[4] for g in got if g[1] == 0) == 2 * len(en) + 8 and abs(got[1][3] - len(en)) <= 2 and abs(got[1][4] - 8) <= 3
+    assert L.Scorer(model).segments(["1", "2", "3"])[0][:2] == (0, 3)
