@@ -1,8 +1,9 @@
 """Binary alignments: record codec, a Python data source with index-planned partitions, and index building.
 
-``spark.read.format("strandline_bam")`` yields the rows that ``read_sam`` yields. With an index beside the file its
-window offsets cut the file into tasks at record boundaries, and a region reads only the chunks
-that may hold it; without one a file is one task. ``read_bam`` adds the exact overlap test as a column expression.
+``spark.read.format("strandline_bam")`` yields the rows that ``read_sam`` yields. A file is cut into tasks by bytes: a
+task looks for the first block in its range and in it for the first record, told by a chain of
+plausible records, and owns the records that begin in its blocks. With an index beside the file a region
+reads only the chunks that may hold it. ``read_bam`` adds the exact overlap test as a column expression.
 """
 
 from __future__ import annotations
@@ -263,9 +264,47 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
 
+def _plausible(data: bytes, at: int, references: int) -> int | None:
+    """Where the record at ``at`` would end, if what stands there can be one; the rest of ``data`` may be too short to tell."""
+    if at + 36 > len(data):
+        return at
+    size, ref, pos, n_name, _, _, n_ops, flags, n_seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHIiii", data, at)
+    if not (-1 <= ref < references and -1 <= mate < references and pos >= -1 and mate_pos >= -1 and n_name >= 1 and flags < 4096):
+        return None
+    if not 32 + n_name + 4 * n_ops + (n_seq + 1) // 2 + n_seq <= size < 1 << 28:
+        return None
+    name = data[at + 36 : at + 36 + n_name]
+    if len(name) == n_name and (name[-1] != 0 or any(not 33 <= c <= 126 for c in name[:-1])):
+        return None
+    return at + 4 + size
+
+
+def _first_record(f: BinaryIO, start: int, end: int, references: int, *, chain: int = 8) -> int | None:
+    """Virtual position of the first record that begins in a block at or after the byte ``start`` and before ``end``."""
+    from strandline.sources.blocked_text import first_block
+
+    block = first_block(f, start)
+    while block is not None and block < end:
+        f.seek(block)
+        r = bgzf.Reader(f)
+        data = r.read(1)
+        own, following = len(r.data), r.next
+        data += r.read(1 << 18)
+        for at in range(own):
+            to, seen = at, 0
+            while to is not None and seen < chain and to + 36 <= len(data):
+                to, seen = _plausible(data, to, references), seen + 1
+            if to is not None and (seen or len(data) - at >= 36):
+                return block << 16 | at
+        block = following if own else None
+    return None
+
+
 class _Piece(InputPartition):
-    def __init__(self, path: str, start: int | None, end: int | None) -> None:
-        self.path, self.start, self.end = path, start, end
+    """A chunk of virtual positions, or (``cut``) the records of the blocks within bytes."""
+
+    def __init__(self, path: str, start: int | None, end: int | None, cut: bool = False) -> None:
+        self.path, self.start, self.end, self.cut = path, start, end, cut
 
 
 class _Reader(DataSourceReader):
@@ -277,40 +316,36 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for p in self.paths:
-            index = index_of(p)
+            index = index_of(p) if self.region is not None else None
             if index is None:
-                out.append(_Piece(p, None, None))
-            elif self.region is None:
-                out += self._whole(p, index)
-            else:
-                with open(p, "rb") as f:
-                    _, names = read_header(bgzf.Reader(f))
-                if self.region.name not in names:
-                    raise ValueError(f"{self.region.name!r} is not in the dictionary of {p}")
-                out += [_Piece(p, a, z) for a, z in index.query(names.index(self.region.name), self.region.start, self.region.end)]
+                size = os.path.getsize(p)
+                out += [_Piece(p, a, min(a + self.task_bytes, size), cut=True) for a in range(0, max(size, 1), self.task_bytes)]
+                continue
+            with open(p, "rb") as f:
+                _, names = read_header(bgzf.Reader(f))
+            if self.region.name not in names:
+                raise ValueError(f"{self.region.name!r} is not in the dictionary of {p}")
+            out += [_Piece(p, a, z) for a, z in index.query(names.index(self.region.name), self.region.start, self.region.end)]
         return out or [_Piece("", None, None)]
 
-    def _whole(self, path: str, index: binning.Index) -> list[InputPartition]:
-        """Tasks of about ``task_bytes``, cut where windows or chunks of the index begin."""
-        marks = sorted({o for r in index.references for o in (*r.windows, *(c[0] for cs in r.bins.values() for c in cs)) if o})
-        cuts: list[int | None] = [None]
-        last = 0
-        for m in marks:
-            if (m >> 16) - last >= self.task_bytes:
-                cuts.append(m)
-                last = m >> 16
-        return [_Piece(path, a, z) for a, z in zip(cuts, [*cuts[1:], None])]
-
     def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         with open(partition.path, "rb") as f:
             r = bgzf.Reader(f)
             _, names = read_header(r)
-            if partition.start is not None:
+            end = partition.end
+            if not partition.cut:
                 r.seek(partition.start)
+            else:
+                end = partition.end << 16
+                if partition.start > 0:
+                    first = _first_record(f, max(partition.start, 1), partition.end, len(names))
+                    if first is None:
+                        return
+                    r.seek(max(first, self._after_header(partition.path)))
             rows: list[tuple] = []
-            for _, raw in records(r, partition.end):
+            for _, raw in records(r, end):
                 rows.append(decode(raw, names))
                 if len(rows) == BATCH:
                     yield _batch(rows)
@@ -318,6 +353,14 @@ class _Reader(DataSourceReader):
             if rows:
                 yield _batch(rows)
 
+    @staticmethod
+    def _after_header(path: str) -> int:
+        """The first record's position: a large header may fill more than a task's bytes."""
+        with open(path, "rb") as f:
+            r = bgzf.Reader(f)
+            read_header(r)
+            return r.position
+
 
 def _files(path: str) -> list[str]:
     path = path.removeprefix("file://").removeprefix("file:")

@@ -52,7 +52,7 @@ class _Piece(InputPartition):
         self.path, self.start, self.end, self.chunk = path, start, end, chunk
 
 
-def _first_block(f, start: int) -> int | None:
+def first_block(f, start: int) -> int | None:
     """The first block that begins at or after a byte; a chance match is told apart by decoding it."""
     f.seek(start)
     window = f.read((1 << 17) + 64)
@@ -89,7 +89,7 @@ def lines_of(piece: _Piece) -> Iterator[bytes]:
                     if rest:
                         yield rest + more.split(b"\n", 1)[0]
                     return
-        first = 0 if piece.start == 0 else _first_block(f, piece.start)
+        first = 0 if piece.start == 0 else first_block(f, piece.start)
         if first is None or first >= piece.end:
             return
         # a line belongs to the task in whose blocks it begins; that of the first byte is known from the byte before
