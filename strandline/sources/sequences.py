@@ -26,7 +26,7 @@ class FaiRecord:
         return self.position + at // self.line_bases * self.line_width + at % self.line_bases
 
 
-class IndexError_(ValueError):
+class SequenceIndexError(ValueError):
     """A sequence that can't be indexed."""
 
 
@@ -41,7 +41,7 @@ def index_fasta(path: str) -> list[FaiRecord]:
         def finish() -> None:
             if name is not None:
                 if length == 0:
-                    raise IndexError_(f"{name} is empty")
+                    raise SequenceIndexError(f"{name} is empty")
                 out.append(FaiRecord(name, length, position, bases, width))
 
         for line in f:
@@ -55,9 +55,9 @@ def index_fasta(path: str) -> list[FaiRecord]:
                 if bases == 0:
                     bases, width = n, len(line)
                 elif ended or n > bases:
-                    raise IndexError_(f"uneven line bases in {name}")
+                    raise SequenceIndexError(f"uneven line bases in {name}")
                 elif len(line) - n != width - bases and n == bases and line.endswith(b"\n"):
-                    raise IndexError_(f"uneven line width in {name}")
+                    raise SequenceIndexError(f"uneven line width in {name}")
                 ended = n < bases
                 length += n
             else:
@@ -76,7 +76,7 @@ def index_fastq(path: str) -> list[tuple[str, int, int, int, int, int]]:
             seq, plus, qual = f.readline(), f.readline(), f.readline()
             n = len(seq.rstrip(b"\r\n"))
             if not head.startswith(b"@") or not plus.startswith(b"+") or len(qual.rstrip(b"\r\n")) != n:
-                raise IndexError_("malformed read")
+                raise SequenceIndexError("malformed read")
             first = at + len(head)
             out.append((head[1:].split(None, 1)[0].decode(), n, first, n, len(seq), first + len(seq) + len(plus)))
             at = first + len(seq) + len(plus) + len(qual)
