@@ -10,10 +10,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from strandline.sources import bgzf
+from strandline.functions.regions import Region
+from strandline.functions.variants import variant_end
+from strandline.sources import bgzf, binning
 from strandline.sources.headers import VcfHeader
 
 SCHEMA = "chrom string, pos bigint, ids array<string>, ref string, alt array<string>, qual float, filters array<string>, info map<string,string>, format array<string>, samples array<map<string,string>>"
@@ -230,27 +233,72 @@ def _files(path: str) -> list[str]:
     return sorted(glob.glob(os.path.join(path, "*.bcf"))) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
 
 
+def records(r: bgzf.Reader, end: int | None = None) -> Iterator[tuple[int, bytes, bytes]]:
+    """Virtual positions, sites and calls of the records up to the position ``end``."""
+    while end is None or r.position < end:
+        at = r.position
+        sizes = r.read(8)
+        if len(sizes) < 8:
+            return
+        a, b = struct.unpack("<II", sizes)
+        yield at, r.read(a), r.read(b)
+
+
+def write_index(path: str) -> str:
+    """A CSI index beside a sorted file; a record without a position raises."""
+    with open(path, "rb") as f:
+        r = bgzf.Reader(f)
+        header = read_header(r)
+        b = binning.Builder(len(header.records["contig"]), csi=True)
+        for at, site, _ in records(r):
+            chrom, pos, span = struct.unpack_from("<iii", site)
+            if pos < 0:
+                raise ValueError("a record without a position can't be indexed")
+            b.add(chrom, pos + 1, pos + max(span, 1), True, (at, r.position))
+    with open(f"{path}.csi", "wb") as f:
+        w = bgzf.Writer(f)
+        w.write(binning.csi_bytes(b.finish()))
+        w.close()
+    return f"{path}.csi"
+
+
 class _Piece(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    """A whole file, or a chunk of virtual positions."""
+
+    def __init__(self, path: str, start: int | None = None, end: int | None = None) -> None:
+        self.path, self.start, self.end = path, start, end
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.paths = _files(options["path"])
+        self.region = Region.parse(options["region"]) if options.get("region") else None
 
     def partitions(self) -> list[InputPartition]:
-        return [_Piece(p) for p in self.paths]
+        out: list[InputPartition] = []
+        for p in self.paths:
+            if self.region is None or not os.path.exists(f"{p}.csi"):
+                out.append(_Piece(p))
+                continue
+            with open(p, "rb") as f, open(f"{p}.csi", "rb") as g:
+                contigs = list(read_header(bgzf.Reader(f)).records["contig"])
+                index = binning.parse_csi(bgzf.Reader(g).read())
+            if self.region.name in contigs:
+                out += [_Piece(p, a, z) for a, z in index.query(contigs.index(self.region.name), self.region.start, self.region.end)]
+        return out or [_Piece("")]
 
     def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         with open(partition.path, "rb") as f:
             r = bgzf.Reader(f)
             header = read_header(r)
             contigs, strings = list(header.records["contig"]), {i: k for k, i in header.string_map().items()}
+            if partition.start is not None:
+                r.seek(partition.start)
             rows: list[tuple] = []
-            while len(sizes := r.read(8)) == 8:
-                a, b = struct.unpack("<II", sizes)
-                rows.append(decode(r.read(a), r.read(b), header, contigs, strings))
+            for _, site, calls in records(r, partition.end):
+                rows.append(decode(site, calls, header, contigs, strings))
                 if len(rows) == BATCH:
                     yield self._batch(rows)
                     rows = []
@@ -274,10 +322,15 @@ class BcfSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_bcf(spark: SparkSession, path: str) -> DataFrame:
-    """Variants of files (one task each) with the columns of ``read_vcf``."""
+def read_bcf(spark: SparkSession, path: str, *, region: str | None = None) -> DataFrame:
+    """Variants of files with the columns of ``read_vcf``: one task a file, or of a region (exactly those that overlap it) one a chunk."""
     spark.dataSource.register(BcfSource)
-    return spark.read.format("strandline_bcf").option("path", path).load()
+    reader = spark.read.format("strandline_bcf").option("path", path)
+    if region is None:
+        return reader.load()
+    end = F.try_element_at(F.col("info"), F.lit("END")).try_cast("bigint")
+    df = reader.option("region", region).load()
+    return df.where(Region.parse(region).overlaps(F.col("chrom"), F.col("pos"), variant_end(F.col("pos"), F.col("ref"), end=end)))
 
 
 def write_bcf(df: DataFrame, path: str, header: VcfHeader) -> None:

@@ -20,11 +20,10 @@ def read_variants(spark: SparkSession, path: str, *, region: str | None = None)
             return blocked_text.read_region(spark, path, "vcf", region).drop("file")
         return text.vcf_columns(blocked_text.read_lines(spark, path))
     if kind == "bcf":
-        df = bcf.read_bcf(spark, path)
-    elif kind == "vcf":
-        df = text.read_vcf(spark, path).drop("file")
-    else:
+        return bcf.read_bcf(spark, path, region=region)
+    if kind != "vcf":
         raise ValueError(f"{kind} is not supported for variants")
+    df = text.read_vcf(spark, path).drop("file")
     if region is None:
         return df
     end = F.try_element_at(F.col("info"), F.lit("END")).try_cast("bigint")

@@ -45,6 +45,19 @@ def test_binary_roundtrip(spark, tmp_path):
     assert flat(variants.read_variants(spark, str(tmp_path / "o.vcf"))) == flat(df)
 
 
+def test_binary_index(spark, tmp_path):
+    rows = body(8000)
+    (tmp_path / "a.vcf").write_text(HEAD + "\n".join(rows) + "\n")
+    df = variants.read_variants(spark, str(tmp_path / "a.vcf"))
+    bcf.write_bcf(df.coalesce(1), str(tmp_path / "o"), VcfHeader.parse(HEAD))
+    (p,) = bcf._files(str(tmp_path / "o"))
+    bcf.write_index(p)
+    for region in ("sq0:1000-1100", "sq1:20000", "sq1", "sq9"):
+        assert flat(variants.read_variants(spark, p, region=region)) == flat(variants.read_variants(spark, str(tmp_path / "a.vcf"), region=region))
+    few = bcf._Reader({"path": p, "region": "sq1:27000-27100"})
+    assert sum(b.num_rows for x in few.partitions() for b in few.read(x)) < 4000
+
+
 def test_typed_values():
     c = bcf._Cursor(bcf.typed_ints([1, None, 300], 5) + bcf.typed_floats([0.5, None]) + bcf.typed_text("abcdefghijklmnopqrst") + bcf.typed_ints([70000]) + bcf.typed_ints([-121, 127]))
     assert [c.typed() for _ in range(5)] == [[1, None, 300], [0.5, None], ["abcdefghijklmnopqrst"], [70000], [-121, 127]]
