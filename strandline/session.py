@@ -35,6 +35,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/strandline-{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its files are too small to fill them; else as it is.
+
+    For scans before costly Python stages. What is moved is less than one split per core, by the sizes of the files.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if size >= cores * split else df.repartition(cores)
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting one row beyond."""
     return df.limit(rows + 1).count() <= rows
