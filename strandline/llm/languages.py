@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.messages import paragraphs
+from strandline.session import spread
 
 #: The languages, with their ISO 639 codes and English names.
 LANGUAGES = {
@@ -307,7 +308,7 @@ def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label_lang", "passage", "n_words", "lang", "confidence"])
 
     staged = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), label_language(F.col(label)).alias("label_lang"), F.col(text).alias("text"))
-    return staged.mapInArrow(score, "doc_id bigint, label_lang string, passage int, n_words int, lang string, confidence double")
+    return spread(staged).mapInArrow(score, "doc_id bigint, label_lang string, passage int, n_words int, lang string, confidence double")
 
 
 def passage_segments(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -330,7 +331,7 @@ def passage_segments(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", t
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(split, "doc_id bigint, passage int, segment int, first_word int, n_words int, lang string, confidence double")
+    return spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(split, "doc_id bigint, passage int, segment int, first_word int, n_words int, lang string, confidence double")
 
 
 def document_languages(passages: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.messages import part_words, words
-from strandline.session import checkpointed
+from strandline.session import checkpointed, spread
 
 WINDOW = 12
 SHINGLE = 5
@@ -111,7 +111,7 @@ def _runs(docs: DataFrame, doc_id: str, text: str, held: ItemShingles, window: i
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(scan, schema)
+    return spread(docs.select(F.col(doc_id).cast("bigint"), F.col(text))).mapInArrow(scan, schema)
 
 
 def _leaks_of(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, list[str]]], window: int, k: int) -> DataFrame:

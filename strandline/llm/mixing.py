@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import spread
+
 #: Splitting pattern of the byte-level vocabularies: a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -48,7 +50,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, keep: Column, *, vocab
             n = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
 
-    return staged.mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
+    return spread(staged).mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
 
 
 def source_name(source: Column) -> Column:
