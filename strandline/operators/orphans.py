@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.sweep import covered_and_gaps
-from strandline.session import within
 
 #: 24 bytes a row: 2 million periods are 48 MB in every Python worker.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -84,10 +83,9 @@ def _times(at: str) -> Column:
 
 def _held(parents: DataFrame, key: str, added: str, removed: str, max_rows: int) -> SortedParents | None:
     """The sorted arrays of a parent table, or None if they are more than ``max_rows``."""
-    periods = lifetimes(parents, key, added, removed)
-    if not within(periods, max_rows):
+    got = lifetimes(parents, key, added, removed).limit(max_rows + 1).toArrow()
+    if got.num_rows > max_rows:
         return None
-    got = periods.toArrow()
     return SortedParents(*[np.asarray(got.column(c)) for c in ("k", "a", "z")])
 
 
