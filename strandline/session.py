@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: dict[str, bool] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if _shipped.get(sc.applicationId):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped[sc.applicationId] = True
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
