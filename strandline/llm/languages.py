@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.messages import paragraphs
@@ -266,14 +266,39 @@ def _paragraph_rows(docs: DataFrame, keep: str, types: str, least: int) -> DataF
     return docs.select("doc_id", keep, "text").mapInArrow(parse, f"doc_id bigint, {keep} {types}, words array<string>")
 
 
+def quotas(counts: dict[str, int], total: int) -> dict[str, int]:
+    """How many of each language's labelled documents to take, ``total`` together (all, if there are fewer): a quarter of
+    ``total`` in equal parts, as far as a language has so many, and the rest in proportion to what is left."""
+    taken = {k: min(n, total // (4 * len(counts))) for k, n in counts.items()}
+    left = {k: n - taken[k] for k, n in counts.items()}
+    room, rest = min(total, sum(counts.values())) - sum(taken.values()), max(1, sum(left.values()))
+    more = {k: room * n // rest for k, n in left.items()}
+    short = room - sum(more.values())
+    for k in sorted(left, key=lambda k: (-(room * left[k] % rest), k))[:short]:
+        more[k] += 1
+    return {k: taken[k] + more[k] for k in counts}
+
+
+def _sampled(labelled: DataFrame, counts: dict[str, int], quota: dict[str, int]) -> DataFrame:
+    """The documents of least hash in each language, as many as its quota.
+
+    Only about twice the quota (and 64) are ordered: those below a bar on the 64-bit hash, set by the language's own count.
+    """
+    if not counts:
+        return labelled
+    of = lambda values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])[F.col("lang")]
+    bars = {k: min(2**63 - 1, 2**64 * (2 * quota[k] + 64) // n - 2**63) for k, n in counts.items()}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id"))
+    hashed = labelled.withColumn("_key", F.xxhash64("doc_id", F.lit(11))).where(F.col("_key") <= of(bars))
+    return hashed.withColumn("_place", place).where(F.col("_place") <= of(quota)).drop("_key", "_place")
+
+
 def trained(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_documents: int = SAMPLE_DOCUMENTS, least_words: int = LEAST_WORDS) -> Model:
-    """A model fitted on the passages of at most ``sample_documents`` labelled documents, chosen by a hash of their id."""
+    """A model fitted on the passages of ``sample_documents`` labelled documents (of all, if there are fewer), chosen
+    by a hash of their id with a quota for each language."""
     labelled = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), label_language(F.col(label)).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    share = 2.0 * sample_documents / max(1, docs.count())
-    key = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    if share < 1:
-        labelled = labelled.where(key < F.lit(int(1_000_000 * share)))
-    got = _paragraph_rows(labelled.orderBy(key, "doc_id").limit(sample_documents), "lang", "string", least_words).collect()
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    got = _paragraph_rows(_sampled(labelled, counts, quotas(counts, sample_documents)), "lang", "string", least_words).collect()
     order = {n: i for i, n in enumerate(NAMES)}
     rows = sorted(((r["doc_id"], r["lang"], r["words"]) for r in got), key=lambda r: (r[0], r[2]))
     codes = [zlib.crc32(str(r[0]).encode()) for r in rows]

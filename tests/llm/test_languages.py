@@ -82,3 +82,19 @@ def test_segments_of_a_mixed_passage(spark, model):
     assert [(g[1], g[2], g[5]) for g in got] == [(0, 0, "en"), (0, 1, "ru"), (0, 2, "en"), (1, 0, "de")]
     assert sum(g[4] for g in got if g[1] == 0) == 2 * len(en) + 8 and abs(got[1][3] - len(en)) <= 2 and abs(got[1][4] - 8) <= 3
     assert L.Scorer(model).segments(["1", "2", "3"])[0][:2] == (0, 3)
+
+
+def test_sample_follows_the_labelled_documents(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(L, "fit", lambda passages, labels, *rest, **more: fitted.append([L.NAMES[y] for y in labels]))
+    rows = [(i, "a: b\n\n" + SAMPLES["en"], ("pl" if i % 1000 == 0 else "en") if i % 50 == 0 else "?") for i in range(10000)]
+    L.trained(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_documents=100)
+    assert len(fitted[0]) == 100 and fitted[0].count("pl") == 10  # of 200 labelled documents, all of the rare language
+    L.trained(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_documents=300)
+    assert len(fitted[1]) == 200
+
+
+def test_quotas():
+    assert L.quotas({"en": 10**10, "pl": 5, "de": 10**9}, 60) == {"en": 46, "pl": 5, "de": 9}
+    assert L.quotas({"en": 7, "pl": 2}, 60) == {"en": 7, "pl": 2} and L.quotas({}, 60) == {}
+    assert sum(L.quotas({k: 1000 + i for i, k in enumerate(L.NAMES)}, 1500).values()) == 1500
