@@ -179,6 +179,10 @@ def _features(passages: Sequence[list[str]]) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
+def inverse_frequencies(df: np.ndarray, passages: int) -> np.ndarray:
+    return np.log((1 + passages) / (1 + df)) + 1.0
+
+
 def _ftrl(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, classes: int, *, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, epochs: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal with elastic net; returns sparse weights and the bias."""
     dim = 1 << HASH_BITS
@@ -206,18 +210,19 @@ def _ftrl(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, classes: int,
     return w[:dim], w[dim]
 
 
-def fit(passages: Sequence[list[str]], labels: Sequence[int], held_out: Sequence[bool], folds: Sequence[int], classes: int = len(NAMES)) -> Model:
+def fit(passages: Sequence[list[str]], labels: Sequence[int], held_out: Sequence[bool], folds: Sequence[int], classes: int = len(NAMES), idf: np.ndarray | None = None) -> Model:
     """Drop the passages whose label a fit on the other half contradicts, fit the rest, calibrate on held-out ones.
 
-    Passages of one document should have one value of ``folds``.
+    Passages of one document should have one value of ``folds``. ``idf`` is that of the passages, if none is given.
     """
     ys, out = np.asarray(labels), np.asarray(held_out, bool)
     raw = _features(passages)
     dim = 1 << HASH_BITS
-    df = np.zeros(dim)
-    for i, _ in raw:
-        df[i] += 1
-    idf = np.log((1 + len(raw)) / (1 + df)) + 1.0
+    if idf is None:
+        df = np.zeros(dim)
+        for i, _ in raw:
+            df[i] += 1
+        idf = inverse_frequencies(df, len(raw))
     model = Model(np.zeros((dim, classes)), idf, np.zeros(classes))
     xs = []
     for i, c in raw:
@@ -266,6 +271,38 @@ def _paragraph_rows(docs: DataFrame, keep: str, types: str, least: int) -> DataF
     return docs.select("doc_id", keep, "text").mapInArrow(parse, f"doc_id bigint, {keep} {types}, words array<string>")
 
 
+def corpus_idf(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, keep: int = 200_000) -> np.ndarray:
+    """Inverse document frequencies of the hashed n-grams over the passages of all documents.
+
+    A task counts in an array of fixed size (and keeps the n-grams of up to ``keep`` words); the counts are summed by n-gram.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim = 1 << HASH_BITS
+        df, cache = np.zeros(dim + 1, np.int64), {}  # the last one counts the passages
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for ws in paragraphs(t, least_words):
+                    parts = []
+                    for w in ws:
+                        if w.isalpha():
+                            if (g := cache.get(w)) is None:
+                                g = cache[w] = _grams(w)
+                            parts.append(g)
+                    df[dim] += 1
+                    if parts:
+                        df[np.concatenate(parts)] += 1  # an index that is repeated counts once
+                if len(cache) > keep:
+                    cache.clear()
+        used = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used])], ["gram", "n"])
+
+    rows = spread(docs.select(F.col(text).alias("text"))).mapInArrow(count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros((1 << HASH_BITS) + 1, np.int64)
+    df[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
+    return inverse_frequencies(df[:-1], int(df[-1]))
+
+
 def quotas(counts: dict[str, int], total: int) -> dict[str, int]:
     """How many of each language's labelled documents to take, ``total`` together (all, if there are fewer): a quarter of
     ``total`` in equal parts, as far as a language has so many, and the rest in proportion to what is left."""
@@ -295,14 +332,14 @@ def _sampled(labelled: DataFrame, counts: dict[str, int], quota: dict[str, int])
 
 def trained(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_documents: int = SAMPLE_DOCUMENTS, least_words: int = LEAST_WORDS) -> Model:
     """A model fitted on the passages of ``sample_documents`` labelled documents (of all, if there are fewer), chosen
-    by a hash of their id with a quota for each language."""
+    by a hash of their id with a quota for each language. The n-grams' frequencies are those of all documents."""
     labelled = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), label_language(F.col(label)).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     got = _paragraph_rows(_sampled(labelled, counts, quotas(counts, sample_documents)), "lang", "string", least_words).collect()
     order = {n: i for i, n in enumerate(NAMES)}
     rows = sorted(((r["doc_id"], r["lang"], r["words"]) for r in got), key=lambda r: (r[0], r[2]))
     codes = [zlib.crc32(str(r[0]).encode()) for r in rows]
-    return fit([r[2] for r in rows], [order[r[1]] for r in rows], [c % 5 == 0 for c in codes], [c // 5 for c in codes])
+    return fit([r[2] for r in rows], [order[r[1]] for r in rows], [c % 5 == 0 for c in codes], [c // 5 for c in codes], idf=corpus_idf(docs, text, least_words))
 
 
 def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", least_words: int = LEAST_WORDS) -> DataFrame:

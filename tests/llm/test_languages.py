@@ -98,3 +98,11 @@ def test_quotas():
     assert L.quotas({"en": 10**10, "pl": 5, "de": 10**9}, 60) == {"en": 46, "pl": 5, "de": 9}
     assert L.quotas({"en": 7, "pl": 2}, 60) == {"en": 7, "pl": 2} and L.quotas({}, 60) == {}
     assert sum(L.quotas({k: 1000 + i for i, k in enumerate(L.NAMES)}, 1500).values()) == 1500
+
+
+def test_idf_is_that_of_all_documents(spark):
+    rows = [(i, "a: b\n\n" + SAMPLES["en"], "en") for i in range(40)] + [(100 + i, "a: b\n\n" + SAMPLES["ru"] + "\n\n" + SAMPLES["ru"], None) for i in range(30)] + [(None, None, None)]
+    got = L.trained(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_documents=10).idf
+    for word, n in (("report", 40), ("отчёт", 60)):
+        assert np.allclose(got[L._grams(word)[-1]], np.log(101 / (1 + n)) + 1)
+    assert np.allclose(L.corpus_idf(spark.createDataFrame([], "text string")), 1.0)
