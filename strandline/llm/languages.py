@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.messages import paragraphs
+from strandline.llm.messages import all_passages, paragraphs
 from strandline.session import spread
 
 #: The languages, with their ISO 639 codes and English names.
@@ -342,11 +342,16 @@ def trained(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
     return fit([r[2] for r in rows], [order[r[1]] for r in rows], [c % 5 == 0 for c in codes], [c // 5 for c in codes], idf=corpus_idf(docs, text, least_words))
 
 
+def _passages(message: str | None, least: int) -> list[list[str]]:
+    return all_passages(message) if least <= 1 else paragraphs(message, least)
+
+
 def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", least_words: int = LEAST_WORDS) -> DataFrame:
     """Every passage of running text: ``doc_id``, ``label_lang`` (what the document's label names, or NULL), ``passage``
     (number in the document), ``n_words``, ``lang``, ``confidence``.
 
-    Documents without such a passage, with a NULL id or text give no rows.
+    With ``least_words`` of 1 every message with a word of letters has a passage: its whole text, if it has no paragraph of
+    running text. Documents without such a passage, with a NULL id or text give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -357,7 +362,7 @@ def passage_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
             for d, named, t in zip(*(c.to_pylist() for c in b.columns)):
                 if d is None:
                     continue
-                for i, ws in enumerate(paragraphs(t, least_words)):
+                for i, ws in enumerate(_passages(t, least_words)):
                     ids.append(d)
                     labels.append(named)
                     number.append(i)
@@ -387,7 +392,7 @@ def passage_segments(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", t
                 (d, i, k, first, n, NAMES[lang], confidence)
                 for d, t in zip(*(c.to_pylist() for c in b.columns))
                 if d is not None
-                for i, ws in enumerate(paragraphs(t, least_words))
+                for i, ws in enumerate(_passages(t, least_words))
                 for k, (first, n, lang, confidence) in enumerate(scorer.segments(ws))
             ]
             if rows:

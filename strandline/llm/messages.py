@@ -181,7 +181,7 @@ def paragraphs(message: str | None, least: int = 12) -> list[list[str]]:
         if ">" in text or "|" in text:
             text = _QUOTE.sub("", text)
         for para in _PARTED.split(text):
-            if len(para) < 2 * least:
+            if len(para) < 2 * least - 1:
                 continue
             lines = para.split("\n")
             if "--" in para or "__" in para:
@@ -197,3 +197,12 @@ def paragraphs(message: str | None, least: int = 12) -> list[list[str]]:
                 continue
             found.append(ws)
     return found
+
+
+def all_passages(message: str | None) -> list[list[str]]:
+    """Words of all paragraphs of running text, however short; of a message without any, the words of its whole text (attachments apart), if one of them is of letters."""
+    found = paragraphs(message, 1)
+    if found:
+        return found
+    ws = [w for p in text_parts(message) if not p.attached for w in words(html_text(p.text) if p.is_html else p.text)]
+    return [ws] if any(map(str.isalpha, ws)) else []

@@ -131,13 +131,13 @@ def p9_shares_flattened(spark: SparkSession, sf: str) -> DataFrame:
 # p10 --------------------------------------------------------------------------------------
 
 
-def _passages(spark: SparkSession, sf: str) -> DataFrame:
+def _passages(spark: SparkSession, sf: str, least_words: int = 1) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return languages.passage_languages(docs, languages.trained(docs))
+    return languages.passage_languages(docs, languages.trained(docs), least_words=least_words)
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return languages.unlabelled_languages(_passages(spark, sf))
+    return languages.unlabelled_languages(_passages(spark, sf, languages.LEAST_WORDS))
 
 
 def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +147,7 @@ def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
 def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of one language inside the passages."""
     docs = table(spark, sf, "documents")
-    return languages.passage_segments(docs, languages.trained(docs))
+    return languages.passage_segments(docs, languages.trained(docs), least_words=1)
 
 
 def p10_documents(spark: SparkSession, sf: str) -> DataFrame:

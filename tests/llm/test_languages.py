@@ -106,3 +106,15 @@ def test_idf_is_that_of_all_documents(spark):
     for word, n in (("report", 40), ("отчёт", 60)):
         assert np.allclose(got[L._grams(word)[-1]], np.log(101 / (1 + n)) + 1)
     assert np.allclose(L.corpus_idf(spark.createDataFrame([], "text string")), 1.0)
+
+
+def test_every_message_has_a_language(spark, model, monkeypatch, tmp_path):
+    from strandline.llm import queries
+
+    monkeypatch.setattr(L, "trained", lambda docs: model)
+    texts = ["a: b\n\n" + SAMPLES["en"] + "\n\nder bericht enthält leider nicht die tabelle", "a: b\n\nthe report is missing the table", "a: b\n\n-- \nthe report 1 2 3 4", "a: b\n\n12 34", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["passage"]): (r["n_words"], r["lang"]) for r in queries.p10_passages(spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 0), (2, 0)} and got[0, 1] == (7, "de") and got[1, 0] == (6, "en")
+    assert {r["doc_id"] for r in queries.p10_documents(spark, str(tmp_path)).collect()} == {0, 1, 2} == {r["doc_id"] for r in queries.p10_segments(spark, str(tmp_path)).collect()}
+    assert queries.p10_found(spark, str(tmp_path)).count() == 0  # its paragraphs have 12 words
