@@ -97,13 +97,14 @@ def plan(sources: list[Source], total: float | None = None, *, policy: str = "ex
     """Weights and token budgets; returns the sources, the total and the exponent.
 
     Without ``total`` it is the greatest at which every source with text can have its target share
-    (targets of sources without any text are spread over the others in proportion). With a greater
+    (targets of sources without any text, or with a cap of 0, are spread over the others in proportion). With a greater
     ``total``, ``policy`` decides: ``exact`` shrinks it to that size; ``flatten`` keeps it and bisects the
     exponent towards the natural shares until the caps on repetition hold (and the entropy is
     ``least_entropy`` at least); what no exponent can meet saturates at the caps.
     """
-    natural = _normalised([float(s.tokens) if s.target > 0 else 0.0 for s in sources])
-    target = _normalised([s.target if s.tokens > 0 else 0.0 for s in sources])
+    usable = [s.tokens > 0 and s.max_repeats > 0 for s in sources]
+    natural = _normalised([float(s.tokens) if s.target > 0 and u else 0.0 for s, u in zip(sources, usable)])
+    target = _normalised([s.target if u else 0.0 for s, u in zip(sources, usable)])
     room = [s.tokens * s.max_repeats for s in sources]
     most = min((r / t for r, t in zip(room, target) if t > 0), default=0.0)
     a = 1.0
@@ -118,7 +119,7 @@ def plan(sources: list[Source], total: float | None = None, *, policy: str = "ex
     return sources, total, a
 
 
-def mix(counts: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, policy: str = "exact", blocks: int = 1024, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(counts: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, policy: str = "exact", least_entropy: float | None = None, blocks: int = 1024, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The selection and the report of a mixture.
 
     ``counts``: ``doc_id``, ``source``, ``n_tokens`` (written beforehand: it is read three times);
@@ -136,7 +137,7 @@ def mix(counts: DataFrame, targets: DataFrame, *, total_tokens: float | None = N
     sized = usable.join(F.broadcast(goals.select("source")), "source", "left_semi").groupBy("source", "_block").agg(F.sum("n_tokens").alias("_m"))
     have = {r["source"]: r["m"] for r in sized.groupBy("source").agg(F.sum("_m").alias("m")).collect()}
     sources = [Source(r["source"], int(have.get(r["source"], 0)), float(r["target_share"]), float(r["max_repeats"])) for r in goals.orderBy("source").collect()]
-    sources, total, exponent = plan(sources, total_tokens, policy=policy)
+    sources, total, exponent = plan(sources, total_tokens, policy=policy, least_entropy=least_entropy)
     rows = []
     for s in sources:
         passes = math.floor(s.budget / s.tokens + 1e-9) if s.tokens else 0

@@ -123,6 +123,11 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p9_selection_flattened(spark: SparkSession, sf: str) -> DataFrame:
+    """The selection whose shares ``p9_shares_flattened`` reports."""
+    return _mix(spark, sf, policy="flatten", all_tokens=True)[0]
+
+
 def p9_shares_flattened(spark: SparkSession, sf: str) -> DataFrame:
     """All tokens of the sources kept as total, the exponent bisected until the caps hold."""
     return _mix(spark, sf, policy="flatten", all_tokens=True)[1]
@@ -163,6 +168,7 @@ QUERIES = {
     "p7_profile": p7_profile,
     "p8_found": p8_found,
     "p9_selection": p9_selection,
+    "p9_selection_flattened": p9_selection_flattened,
     "p9_shares": p9_shares,
     "p9_shares_flattened": p9_shares_flattened,
     "p10_found": p10_found,

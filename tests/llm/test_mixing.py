@@ -50,3 +50,15 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, " Lab_Mail ", "hello world"), (2, None, None), (3, "a", ""), (4, "b", "<|endoftext|>"), (5, "c", "x" * 20000)], "doc_id bigint, source string, text string")
     got = {r["doc_id"]: r for r in X.token_counts(df, "doc_id", "text", X.source_name(F.col("source"))).collect()}
     assert got[1]["n_tokens"] == 2 and got[1]["source"] == "lab-mail" and got[2]["n_tokens"] == 0 and got[2]["source"] is None and got[3]["n_tokens"] == 0 and got[4]["n_tokens"] > 1 and got[5]["n_tokens"] > 100
+
+
+def test_cap_of_zero_and_entropy_reach_the_mixture(spark):
+    from strandline.llm import queries
+
+    assert "p9_selection_flattened" in queries.QUERIES
+    s, total, _ = X.plan([X.Source("a", 1000, 0.5, 1), X.Source("b", 500, 0.5, 0)])
+    assert total == 1000 and [x.budget for x in s] == [1000, 0]
+    counts = spark.createDataFrame([(i, "a", 10) for i in range(900)] + [(1000 + i, "b", 10) for i in range(300)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.95, 9), ("b", 0.05, 9)], "source string, target_share double, max_repeats int")
+    rep = {r["source"]: r["reached_share"] for r in X.mix(counts, targets, total_tokens=6000.0, policy="flatten", least_entropy=X.entropy([0.85, 0.15]), blocks=16)[1].collect()}
+    assert abs(rep["a"] - 0.85) < 0.01
