@@ -117,7 +117,7 @@ c as (select *, case
     when not (regexp_full_match(f[4], '[0-9]+') and coalesce(try_cast(f[4] as hugeint) between 1 and 2147483647, false)) then 'invalid_start'
     when not (regexp_full_match(f[5], '[0-9]+') and coalesce(try_cast(f[5] as hugeint) between 1 and 2147483647, false)) then 'invalid_end'
     when cast(f[4] as hugeint) > cast(f[5] as hugeint) then 'start_after_end'
-    when f[6] <> '.' and not regexp_full_match(f[6], '{_FLOAT}') then 'invalid_score'
+    when f[6] <> '.' and not (regexp_full_match(f[6], '{_FLOAT}') and coalesce(isfinite(try_cast(f[6] as double)), false)) then 'invalid_score'
     when f[7] not in ('+', '-', '.') then 'invalid_strand'
     when f[8] not in ('0', '1', '2', '.') then 'invalid_frame'
     when not regexp_full_match(f[9], '[^"]*("([^"\\]|\\.)*"[^"]*)*') then 'broken_quoting'
