@@ -1,14 +1,16 @@
 """Attribute-value rows into wide typed tables, by column-block pivoting.
 
-The declared attributes are divided into blocks. Each block is one aggregation by
-entity (partial on the map side, so an entity that holds most of the rows costs one
-row per map task), and every block ends up in the same hash partitioning of the
-entity. A spine with all entities is then left-joined with the blocks; as partitioning
-and order already agree, the joins move nothing.
+The rows are read once. They are first reduced to one row per entity and attribute (combined on the
+map side and spread by both, so an entity that holds most of the rows is in no single task), and then
+exchanged once by entity. Inside that partitioning nothing moves any more: the declared attributes are divided into
+blocks of about the square root of their number, every block is pivoted by an aggregation by entity
+and block, and the blocks of an entity are joined side by side by an aggregation by entity. A row so
+meets the columns of its own block only, and a block only its peers, however many attributes there are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -57,6 +59,11 @@ class Attribute:
                 return v.try_cast("double")
         return v
 
+    @property
+    def form(self) -> str:
+        """What the check of a value depends on, as text."""
+        return "Flag" if self.is_flag else self.value_type + ("[]" if self.is_list else "")
+
     def state(self, raw: Column) -> Column:
         """``MISSING``, ``INVALID`` or ``VALID`` for a raw value."""
         v = F.trim(raw)
@@ -92,6 +99,23 @@ def attributes(definitions: DataFrame, kind: str | None = None) -> list[Attribut
     return [Attribute(r.field_key, r.d.c, r.d.t) for r in rows]
 
 
+def _cells(rows: DataFrame, declared: Sequence[Attribute], size: int, entity: str, attribute: str, value: str, order: str | None) -> DataFrame:
+    """One row per entity ``_e`` and key ``_k``: best state ``_s``, winning raw value ``_v`` (NULL if none is valid), block ``_b`` and place in it ``_i``."""
+    rank = F.col(order) if order else F.lit(None).cast("timestamp")
+    base = rows.select(F.col(entity).alias("_e"), F.col(attribute).alias("_k"), F.col(value).alias("_v"), rank.alias("_o"))
+    base = base.where(F.col("_e").isNotNull() & F.col("_k").isNotNull())
+    # the declarations, as many as the result has columns, are held by every task
+    held = [(a.key, n // size, n % size, a.form) for n, a in enumerate(declared)]
+    base = base.join(F.broadcast(rows.sparkSession.createDataFrame(held, "_k string, _b int, _i int, _f string")), "_k", "left")
+    text = F.trim("_v")
+    state = F.when(F.col("_f").isNull(), F.when(text.isNull() | text.isin("", "."), MISSING).otherwise(VALID))
+    for form, a in {a.form: a for a in declared}.items():
+        state = state.when(F.col("_f") == form, a.state(F.col("_v")))
+    valid = F.col("_s") == VALID
+    best = F.max_by(F.when(valid, F.coalesce("_v", F.lit(""))), F.when(valid, F.struct("_o", "_v")))
+    return base.withColumn("_s", state).groupBy("_e", "_k").agg(F.max("_s").alias("_s"), best.alias("_v"), F.max("_b").alias("_b"), F.max("_i").alias("_i"))
+
+
 def pivot_blocks(
     rows: DataFrame,
     declared: Sequence[Attribute],
@@ -100,7 +124,7 @@ def pivot_blocks(
     attribute: str,
     value: str,
     order: str | None = None,
-    block_size: int = 64,
+    block_size: int | None = None,
     extras: bool = True,
 ) -> DataFrame:
     """One row per entity of ``rows``: a typed column for every declared attribute.
@@ -114,46 +138,34 @@ def pivot_blocks(
     Rows with a NULL entity or key are left out; other columns of ``rows`` are ignored.
     An entity with only such or undeclared rows still comes out, with NULL cells. Keys are
     compared as written. An empty input gives no rows. A declared key may not be named like
-    the entity column, ``_invalid`` or ``_extras``.
+    the entity column, ``_invalid`` or ``_extras``. ``block_size``: attributes per block.
     """
     taken = {entity, "_invalid", "_extras"} & {a.key for a in declared}
     if taken:
         raise ValueError(f"declared keys clash with output columns: {sorted(taken)}")
-    rank = F.col(order) if order else F.lit(None).cast("timestamp")
-    base = rows.select(F.col(entity).alias("_e"), F.col(attribute).alias("_k"), F.col(value).alias("_v"), rank.alias("_o")).where(
-        F.col("_e").isNotNull() & F.col("_k").isNotNull()
+    size = block_size or max(1, math.ceil(math.sqrt(len(declared))))
+    blocks = range(math.ceil(len(declared) / size))
+    cells = _cells(rows, declared, size, entity, attribute, value, order)
+    # the one exchange by entity; whatever follows groups by entity first and stays in its partitions
+    placed = cells.repartition("_e")
+    slots = [F.first(F.when(F.col("_i") == i, F.col("_v")), ignorenulls=True).alias(f"v{i}") for i in range(size)]
+    unusable = F.collect_list(F.when(F.col("_s") == INVALID, F.col("_k"))).alias("_bad")
+    other = F.collect_list(F.when(F.col("_b").isNull() & F.col("_v").isNotNull(), F.struct("_k", "_v"))).alias("_other")
+    pivoted = placed.groupBy("_e", "_b").agg(*slots, unusable, other)
+    pivoted = pivoted.select("_e", "_b", F.struct(*[f"v{i}" for i in range(size)]).alias("_block"), "_bad", "_other")
+    joined = pivoted.groupBy("_e").agg(
+        *[F.first(F.when(F.col("_b") == b, F.col("_block")), ignorenulls=True).alias(f"_b{b}") for b in blocks],
+        F.array_sort(F.flatten(F.collect_list("_bad"))).alias("_invalid"),
+        F.first(F.when(F.col("_b").isNull(), F.col("_other")), ignorenulls=True).alias("_other"),
     )
-    wide = base.groupBy("_e").agg(F.count(F.lit(1)).alias("_n"))
-    cells: list[Column] = []
-    invalid: list[Column] = []
-    for b, at in enumerate(range(0, len(declared), block_size)):
-        block = declared[at : at + block_size]
-        aggs = []
-        for i, a in enumerate(block):
-            mine = F.col("_k") == a.key
-            state = F.when(mine, a.state(F.col("_v")))
-            aggs.append(F.max_by(F.when(state == VALID, a.typed(F.col("_v"))), F.when(state == VALID, F.struct("_o", "_v"))).alias(f"_c{b}_{i}"))
-            aggs.append(F.max(state).alias(f"_s{b}_{i}"))
-        part = base.where(F.col("_k").isin([a.key for a in block])).groupBy("_e").agg(*aggs)
-        flags = F.array_compact(F.array(*[F.when(F.col(f"_s{b}_{i}") == INVALID, F.lit(a.key)) for i, a in enumerate(block)]))
-        part = part.select("_e", *[f"_c{b}_{i}" for i in range(len(block))], flags.alias(f"_i{b}"))
-        wide = wide.join(part, "_e", "left")
-        cells += [F.col(f"_c{b}_{i}").alias(a.key) for i, a in enumerate(block)]
-        invalid.append(F.coalesce(F.col(f"_i{b}"), F.array().cast("array<string>")))
-    out = [F.col("_e").alias(entity), *cells, F.array_sort(F.concat(*invalid)).alias("_invalid") if invalid else F.array().cast("array<string>").alias("_invalid")]
+    out = [F.col("_e").alias(entity)]
+    for n, a in enumerate(declared):
+        raw = F.col(f"_b{n // size}.v{n % size}")
+        out.append(F.when(raw.isNotNull(), a.typed(raw)).alias(a.key))
+    out.append(F.col("_invalid"))
     if extras:
-        other = base.where(~F.col("_k").isin([a.key for a in declared])) if declared else base
-        v = F.trim("_v")
-        other = (
-            other.where(v.isNotNull() & ~v.isin("", "."))
-            .groupBy("_e", "_k")
-            .agg(F.max_by("_v", F.struct("_o", "_v")).alias("_v"))
-            .groupBy("_e")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("_extras"))
-        )
-        wide = wide.join(other, "_e", "left")
-        out.append(F.col("_extras"))
-    return wide.select(*out)
+        out.append(F.when(F.size("_other") > 0, F.map_from_entries(F.array_sort("_other"))).alias("_extras"))
+    return joined.select(*out)
 
 
 def unusable_cells(wide: DataFrame, entity: str, kind: str) -> DataFrame:

@@ -28,6 +28,24 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pivot.unusable_cells(_wide(spark, sf, "data"), "record_id", "data").unionByName(pivot.unusable_cells(_wide(spark, sf, "info"), "variant_id", "info"))
 
 
+def p1_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The typed cells of both wide tables one by one: the number of values, the sum of numbers, the text of others."""
+    out = None
+    for kind, entity in (("data", "record_id"), ("info", "variant_id")):
+        wide, cells = _wide(spark, sf, kind), []
+        for a in pivot.attributes(table(spark, sf, "field_definitions"), kind):
+            v = F.col(f"`{a.key}`")
+            n = F.size(v) if a.is_list else F.lit(1)
+            listed = v if a.is_list else F.array(v)
+            numeric = a.value_type in ("Integer", "Float")
+            total = F.round(F.aggregate(listed, F.lit(0.0), lambda t, x: t + F.coalesce(x.cast("double"), F.lit(0.0))), 4) if numeric else F.lit(None).cast("double")
+            text = F.lit(None).cast("string") if numeric else F.array_join(F.transform(listed, lambda x: x.cast("string")), ",", ".")
+            cells.append(F.when(v.isNotNull(), F.struct(F.lit(a.key).alias("field_key"), n.alias("n_values"), total.alias("total"), text.alias("text"))))
+        long = wide.select(F.lit(kind).alias("record_kind"), F.col(entity).alias("record_id"), F.inline(F.array_compact(F.array(*cells))))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     intervals = table(spark, sf, "features").where(F.col("feature_start") >= 1)
     return sweep.covered_and_gaps(intervals, ["file_id", "reference_sequence_name"], "feature_start", "feature_end")
@@ -66,6 +84,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_data_wide": p1_data_wide,
     "p1_info_wide": p1_info_wide,
+    "p1_cells": p1_cells,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_report": p3_report,
@@ -78,13 +97,13 @@ _FLOAT = "[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?"
 
 _P1_VALUES = """
 values_ as (
-  select 'data' as record_kind, record_id, tag as field_key, trim(data) as v from data_fields
-  union all select 'info', variant_id, field_key, trim(info) from info_fields),
+  select 'data' as record_kind, record_id, tag as field_key, trim(data) as v, data as raw, loaded_at from data_fields
+  union all select 'info', variant_id, field_key, trim(info), info, loaded_at from info_fields),
 typed as (
   select x.*, coalesce(d.value_type, 'String') as ty, coalesce(d.value_count, '1') as n
   from values_ x left join field_definitions d on d.record_kind = x.record_kind and d.field_key = x.field_key),
 states as (
-  select record_kind, record_id, field_key,
+  select record_kind, record_id, field_key, ty, n, v, raw, loaded_at,
     case when ty = 'Flag' then case when v is null or v = '' then 2 else 1 end
          when v is null or v in ('', '.') then 0
          when len(list_filter(case when n = '1' then [v] else string_split(v, ',') end, lambda e: not (
@@ -126,6 +145,14 @@ c as (select *, case
 
 ORACLES = {
     "p1_found": f"with {_P1_VALUES} select record_kind, record_id, field_key from states group by all having max(state) = 1",
+    "p1_cells": f"""
+with {_P1_VALUES}, best as (
+  select *, case when n = '1' or ty = 'Flag' then [v] else string_split(v, ',') end as e from states s
+  where state = 2 and exists (select 1 from field_definitions d where d.record_kind = s.record_kind and d.field_key = s.field_key)
+  qualify row_number() over (partition by record_kind, record_id, field_key order by loaded_at desc nulls last, coalesce(raw, '') desc) = 1)
+select record_kind, record_id, field_key, case when ty = 'Flag' then 1 else len(e) end as n_values,
+  case when ty in ('Integer', 'Float') then round(coalesce(list_sum([cast(x as double) for x in e if x <> '.']), 0), 4) end as total,
+  case when ty = 'Flag' then 'true' when ty not in ('Integer', 'Float') then array_to_string(e, ',') end as text from best""",
     "p2_found": """
 with i as (select distinct file_id, reference_sequence_name, feature_start as a, feature_end as z from features where feature_start >= 1 and feature_end >= feature_start),
 m as (select *, max(z) over (partition by file_id, reference_sequence_name order by a, z rows between unbounded preceding and 1 preceding) as before from i),

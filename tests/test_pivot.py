@@ -41,17 +41,34 @@ def test_nulls_undeclared_keys_and_many_blocks(spark):
     assert wide(spark, rows, block_size=64) == got
 
 
-def test_blocks_join_without_further_shuffles(spark):
-    df = spark.createDataFrame([(1, "N", "1", T[0], "x", 1)], SCHEMA)
+def plan(spark, df):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = pivot_blocks(df, DECLARED, entity="e", attribute="k", value="v", block_size=2, extras=False)._jdf.queryExecution().executedPlan().toString()
+        return df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 4
-    assert plan.count("Exchange hashpartitioning") == 5  # the spine and the four blocks, nothing for the joins
+
+
+def test_one_scan_and_one_exchange_by_entity(spark, tmp_path):
+    spark.createDataFrame([(1, "N", "1", T[0], "x", 1)], SCHEMA).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for size in (1, 2, 64):
+        text = plan(spark, pivot_blocks(df, DECLARED, entity="e", attribute="k", value="v", block_size=size))
+        assert text.count("Scan parquet") == 1
+        # one by entity and key for the cells, one by entity; nothing for the blocks
+        assert text.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in text
+
+
+def test_a_flag_without_text_is_set(spark):
+    got = wide(spark, [(1, "B", None, T[0]), (2, "B", "x", T[0]), (2, "B", "", T[0]), (3, "N", "1", T[0])])
+    assert (got[1]["B"], got[2]["B"], got[3]["B"]) == (True, True, None) and got[2]["_invalid"] == []
+
+
+def test_an_entity_with_most_of_the_rows(spark):
+    rows = [(1, "N", str(i), T[i % 8]) for i in range(2000)] + [(1, f"Z{i}", "a", T[0]) for i in range(300)] + [(2, "N", "5", T[0])]
+    got = wide(spark, rows)
+    last = max((T[i % 8], str(i)) for i in range(2000))
+    assert got[1]["N"] == int(last[1]) and len(got[1]["_extras"]) == 300 and got[2]["N"] == 5
 
 
 def test_empty_table_definitions_and_unusable_cells(spark):
