@@ -1,20 +1,18 @@
 """References to records that did not exist: binary search in sorted parent arrays.
 
 A parent row is valid from ``added`` up to but not including ``removed`` (NULL: no end).
-The lifetimes of a key are first merged into disjoint periods. References are then probed
-in Arrow batches by binary search for (key, time):
-
-* if the periods are few enough (``max_broadcast_rows``, checked), every task gets them as
-  sorted arrays, cut into ranges of keys, and the references are not shuffled at all;
-* otherwise periods and references are range-partitioned together by key and sorted, so that
-  a task meets the periods of a key before its references and streams through both. Keys with
-  more references than a partition should hold are split by a salt, and only their periods
-  are repeated per salt.
+The lifetimes of a key are first merged into disjoint periods. Periods and references of all fields are
+then range-partitioned together by field and key and sorted, so that a task meets the periods of a range
+of keys before their references: it keeps them as sorted arrays and probes Arrow batches of references
+by binary search for (key, time). The most frequent keys are divided by a salt in proportion to their
+references, and only their periods are repeated per salt.
+
+``probe_held`` is the way without a shuffle, for a caller who knows that the parents fit into every task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +21,6 @@ from pyspark.sql import functions as F
 
 from strandline.operators.sweep import covered_and_gaps
 
-#: 24 bytes a row: 2 million periods are 48 MB in every Python worker.
-MAX_BROADCAST_ROWS = 2_000_000
 RANGE_ROWS = 65_536
 FOREVER = 2**63 - 2
 
@@ -81,92 +77,91 @@ def _times(at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp"))
 
 
-def _held(parents: DataFrame, key: str, added: str, removed: str, max_rows: int) -> SortedParents | None:
-    """The sorted arrays of a parent table, or None if they are more than ``max_rows``."""
-    got = lifetimes(parents, key, added, removed).limit(max_rows + 1).toArrow()
-    if got.num_rows > max_rows:
-        return None
-    return SortedParents(*[np.asarray(got.column(c)) for c in ("k", "a", "z")])
+def _hot_keys(refs: DataFrame, n: int) -> DataFrame:
+    """The ``4 * n`` most frequent (field, key) with their numbers of salts, at most ``5 * n`` together.
 
+    Any other key has at most a ``4 * n``-th of the references, less than a partition's share.
+    """
+    top = refs.groupBy("f", "k").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "f", "k").limit(4 * n).collect()
+    fair = max(1, sum(r["c"] for r in top) // n)
+    rows = [(r["f"], r["k"], -(-r["c"] // fair)) for r in top if r["c"] > fair]
+    return refs.sparkSession.createDataFrame(rows, "f int, k bigint, n int")
 
-def orphan_references(
-    references: DataFrame, parents: dict[str, tuple[DataFrame, str]], *, record_id: str, at: str, added: str = "added_at", removed: str = "removed_at", max_broadcast_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
-    """The references for which no parent row was valid at the time ``at``, of all given fields in one scan.
 
-    ``parents``: per reference field its parent table and the key column there. Output:
-    ``record_id``, ``field_name``, ``key`` and ``at``, one row per orphan. A reference is a value that is neither NULL
+def orphan_references(references: DataFrame, parents: dict[str, tuple[DataFrame, str]], *, record_id: str, at: str, keep: Sequence[str] = (), added: str = "added_at", removed: str = "removed_at") -> DataFrame:
+    """The references for which no parent row was valid at the time ``at``, of all given fields together.
+
+    ``parents``: per reference field its parent table and the key column there. Output: ``keep`` (columns of
+    text), ``record_id``, ``field_name``, ``key`` and ``at``, one row per orphan. A reference is a value that is neither NULL
     nor negative; with a NULL time no parent is valid, so it is an orphan. Parents with a NULL key or NULL
     ``added`` are never valid. Records are reported as often as they occur; an empty parent table makes every
-    reference an orphan. ``max_broadcast_rows`` bounds each field's parents that a task holds.
+    reference an orphan; empty references give no rows. Other columns are ignored, whatever their names.
     """
-    small: dict[str, SortedParents] = {}
-    out: DataFrame | None = None
-    for field, (table, key) in parents.items():
-        held = _held(table, key, added, removed, max_broadcast_rows)
-        if held is not None:
-            small[field] = held
+    spark = references.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = list(parents)
+    kept = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(keep)]
+    cs = [f"c{i}" for i in range(len(kept))]
+    given = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).cast("bigint").alias("k")) for i, f in enumerate(names)])
+    refs = references.select(F.col(record_id).cast("bigint").alias("id"), _times(at).alias("t"), *kept, F.inline(given)).where(F.col("k") >= 0)
+    periods = None
+    for i, (table, key) in enumerate(parents.values()):
+        own = lifetimes(table, key, added, removed).select(F.lit(i).alias("f"), "k", "a", "z")
+        periods = own if periods is None else periods.unionByName(own)
+    hot = F.broadcast(_hot_keys(refs, n))
+    none = F.lit(None).cast("bigint")
+    salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("id", "t"), F.col("n"))).otherwise(0).cast("int")
+    salted = refs.join(hot, ["f", "k"], "left").select("f", "k", salt.alias("s"), F.lit(1).alias("side"), "t", "id", none.alias("z"), *cs)
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))
+    repeated = periods.join(hot, ["f", "k"], "left").select("f", "k", salts.alias("s"), F.lit(0).alias("side"), F.col("a").alias("t"), none.alias("id"), "z", *[F.lit(None).cast("string").alias(c) for c in cs])
+    together = repeated.unionByName(salted).repartitionByRange(n, "f", "k", "s").sortWithinPartitions("f", "k", "s", "side", "t")
+    schema = "id bigint, f int, k bigint, t bigint" + "".join(f", {c} string" for c in cs)
+    found = together.mapInArrow(_stream, schema)
+    field = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("f") + 1)
+    return found.select(*[F.col(c).alias(k) for c, k in zip(cs, keep)], F.col("id").alias("record_id"), field.alias("field_name"), F.col("k").alias("key"), F.timestamp_micros("t").alias("at"))
+
+
+def _stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Probe sorted rows: the periods (side 0) of a field, key and salt come before its references (side 1)."""
+    held, of = [np.empty(0, np.int64)] * 3, None
+    for b in batches:
+        if not b.num_rows:
             continue
-        refs = references.where(F.col(field) >= 0).select(F.col(record_id).cast("bigint").alias("id"), F.col(field).cast("bigint").alias("k"), _times(at).alias("t"))
-        found = _partitioned(refs, lifetimes(table, key, added, removed), "id bigint, k bigint, t bigint").select("id", F.lit(field).alias("field"), "k", "t")
-        out = found if out is None else out.unionByName(found)
-    if small:
-        found = _probed(references, small, record_id, at)
-        out = found if out is None else out.unionByName(found)
-    return out.select(F.col("id").alias("record_id"), F.col("field").alias("field_name"), F.col("k").alias("key"), F.timestamp_micros("t").alias("at"))
-
-
-def _probed(references: DataFrame, held: dict[str, SortedParents], record_id: str, at: str) -> DataFrame:
-    """Every task holds the parents; the references are scanned once and not shuffled."""
-    fields = list(held)
-    shared = references.sparkSession.sparkContext.broadcast(held)
-    some = F.lit(False)
-    for f in fields:
-        some = some | (F.col(f) >= 0)
-    refs = references.where(some).select(F.col(record_id).cast("bigint").alias("id"), _times(at).alias("t"), *[F.col(f).cast("bigint").alias(f"k{i}") for i, f in enumerate(fields)])
+        field, side, k, t, z = _arrays(b, "f", "side", "k", "t", "z")
+        timeless = np.asarray(b.column("t").is_null())
+        cuts = [0, *(np.flatnonzero(np.diff(field)) + 1), len(field)]
+        for lo, hi in zip(cuts, cuts[1:]):  # one field at a time
+            if of != field[lo]:
+                held, of = [np.empty(0, np.int64)] * 3, field[lo]
+            own = lo + np.flatnonzero(side[lo:hi] == 0)
+            held = [np.concatenate((h, x[own])) for h, x in zip(held, (k, t, z))]
+            refs = lo + np.flatnonzero(side[lo:hi] == 1)
+            if len(refs):
+                miss = refs[SortedParents(*held).missing(k[refs], t[refs]) | timeless[refs]]
+                names = [c for c in b.schema.names if c not in ("s", "side", "z", "id", "f", "k", "t")]
+                yield b.select(["id", "f", "k", "t", *names]).take(pa.array(miss))
+            last = held[0] == k[hi - 1]
+            held = [h[last] for h in held]  # only the periods of the last key can be needed again
 
-    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (t,) = _arrays(b, "t")
-            timeless = np.asarray(b.column("t").is_null())
-            for i, f in enumerate(fields):
-                column = b.column(f"k{i}")
-                k = np.asarray(column.fill_null(-1).cast(pa.int64()))
-                miss = np.flatnonzero((k >= 0) & (shared.value[f].missing(k, t) | timeless))
-                if len(miss):
-                    at_ = pa.array(miss)
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(at_), pa.array([f] * len(miss)), column.take(at_), b.column("t").take(at_)], ["id", "field", "k", "t"])
-
-    return refs.mapInArrow(probe, "id bigint, field string, k bigint, t bigint")
-
-
-def _partitioned(refs: DataFrame, periods: DataFrame, schema: str, salts: int = 64) -> DataFrame:
-    """Beyond the broadcast bound: both sides range-partitioned by (key, salt) and streamed in order."""
-    spark = refs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = refs.count()
-    # at most 4 n keys can hold more than total / (4 n) rows
-    hot = refs.groupBy("k").count().where(F.col("count") > max(1, total // (4 * n))).select("k", F.lit(True).alias("hot"))
-    salted = refs.join(F.broadcast(hot), "k", "left").select("k", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0).cast("bigint").alias("s"), F.lit(1).alias("side"), "t", "id", F.lit(None).cast("bigint").alias("z"))
-    repeated = periods.join(F.broadcast(hot), "k", "left").select(
-        "k", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("s"), F.lit(0).alias("side"), F.col("a").alias("t"), F.lit(None).cast("bigint").alias("id"), "z"
-    )
-    together = repeated.unionByName(salted).repartitionByRange(n, "k", "s").sortWithinPartitions("k", "s", "side", "t")
+
+def probe_held(references: DataFrame, periods: DataFrame, field: str, *, record_id: str, at: str, max_rows: int) -> DataFrame:
+    """As ``orphan_references`` for one field, with the ``lifetimes`` of its parents in every task and no shuffle.
+
+    Raises if there are more than ``max_rows`` periods (24 bytes each, in every Python worker).
+    """
+    got = periods.limit(max_rows + 1).toArrow()
+    if got.num_rows > max_rows:
+        raise ValueError(f"more than {max_rows} periods of parents")
+    shared = references.sparkSession.sparkContext.broadcast(SortedParents(*[np.asarray(got.column(c)) for c in ("k", "a", "z")]))
+    refs = references.where(F.col(field) >= 0).select(F.col(record_id).cast("bigint").alias("id"), F.col(field).cast("bigint").alias("k"), _times(at).alias("t"))
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
         for b in batches:
-            side, k, t, z = _arrays(b, "side", "k", "t", "z")
-            own = side == 0
-            held = [np.concatenate((h, x[own])) for h, x in zip(held, (k, t, z))]
-            refs_ = np.flatnonzero(~own)
-            if len(refs_):
-                miss = SortedParents(*held).missing(k[refs_], t[refs_]) | np.asarray(b.column("t").is_null())[refs_]
-                yield b.select(["id", "k", "t"]).take(pa.array(refs_[miss]))
-            last = held[0] == k[-1] if len(k) else np.zeros(len(held[0]), bool)
-            held = [h[last] for h in held]  # only the periods of the last key can be needed again
+            k, t = _arrays(b, "k", "t")
+            yield b.take(pa.array(np.flatnonzero(shared.value.missing(k, t) | np.asarray(b.column("t").is_null()))))
 
-    return together.mapInArrow(probe, schema)
+    found = refs.mapInArrow(probe, "id bigint, k bigint, t bigint")
+    return found.select(F.col("id").alias("record_id"), F.lit(field).alias("field_name"), F.col("k").alias("key"), F.timestamp_micros("t").alias("at"))
 
 
 def orphan_counts(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,12 +52,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    sequences, groups = table(spark, sf, "reference_sequences"), table(spark, sf, "read_groups")
-    of_alignments = {"reference_sequence_id": (sequences, "reference_sequence_id"), "read_group_id": (groups, "read_group_id")}
-    of_slices = {"reference_sequence_id": (sequences, "reference_sequence_id")}
-    a = orphans.orphan_references(table(spark, sf, "alignments"), of_alignments, record_id="record_id", at="loaded_at")
-    s = orphans.orphan_references(table(spark, sf, "slices"), of_slices, record_id="slice_id", at="loaded_at")
-    return a.withColumn("table_name", F.lit("alignments")).unionByName(s.withColumn("table_name", F.lit("slices")))
+    parents = {f: (table(spark, sf, p), f) for f, p in (("reference_sequence_id", "reference_sequences"), ("read_group_id", "read_groups"))}
+    columns = ["table_name", "record_id", "reference_sequence_id", "read_group_id", "loaded_at"]
+    a = table(spark, sf, "alignments").withColumn("table_name", F.lit("alignments")).select(columns)
+    s = table(spark, sf, "slices").withColumns({"table_name": F.lit("slices"), "record_id": F.col("slice_id"), "read_group_id": F.lit(None).cast("int")}).select(columns)
+    return orphans.orphan_references(a.unionByName(s), parents, record_id="record_id", at="loaded_at", keep=["table_name"])
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
