@@ -1,4 +1,4 @@
-"""Queries p5 to p10, and the same in SQL where SQL can express them."""
+"""Queries p5, p6 and p8 to p10, and the same in SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import cigar
-from strandline.llm import frequency, languages, leakage, mixing, quantiles, survivors
-from strandline.operators import sweep
+from strandline.llm import languages, leakage, mixing, quantiles, survivors
 from strandline.session import checkpointed, table
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -71,31 +70,6 @@ def p6_months_joined(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(merged, {"read_group_id": "int", "field": "string"}, PERCENTILES)
 
 
-# p7 ---------------------------------------------------------------------------------------
-
-
-def p7_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Records, distinct positions and covered bases per reference sequence."""
-    a = table(spark, sf, "alignments").select("reference_sequence_id", "alignment_start", "cigar")
-    # equal alignments first become one row with a weight
-    freq = a.groupBy("reference_sequence_id", "alignment_start", "cigar").agg(F.count(F.lit(1)).alias("n"))
-    placed = freq.where(F.col("alignment_start") > 0).withColumn("end", cigar.alignment_end(F.col("alignment_start"), F.col("cigar")))
-    periods = sweep.covered_and_gaps(placed, ["reference_sequence_id"], "alignment_start", "end", gaps=False)
-    bases = periods.groupBy(F.col("reference_sequence_id").alias("r")).agg(F.sum(F.col("last_position") - F.col("first_position") + 1).alias("covered_bases"))
-    starts = freq.groupBy("reference_sequence_id", "alignment_start").agg(F.sum("n").alias("n"))
-    counts = starts.groupBy("reference_sequence_id").agg(F.sum("n").alias("records"), F.count(F.when(F.col("alignment_start") > 0, 1)).alias("distinct_starts"))
-    joined = counts.join(bases, F.col("reference_sequence_id").eqNullSafe(F.col("r")), "left")
-    return joined.select("reference_sequence_id", "records", "distinct_starts", F.coalesce("covered_bases", F.lit(0)).alias("covered_bases"))
-
-
-def p7_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct counts, modes and exact percentiles of integer columns per reference sequence."""
-    a = table(spark, sf, "alignments").select("reference_sequence_id", F.when(F.col("mapping_quality") != 255, F.col("mapping_quality")).alias("mapping_quality"), F.when(F.col("template_length") != 0, F.col("template_length")).alias("template_length"))
-    p = frequency.key_profile(a, "reference_sequence_id", ["mapping_quality", "template_length"], (0.05, 0.5, 0.95))
-    marks = [F.get("percentiles", F.lit(i))["value"].alias(n) for i, n in enumerate(("p05", "p50", "p95"))]
-    return p.select(F.col("key").alias("reference_sequence_id"), "field", "n", F.col("distinct").alias("n_distinct"), F.col("mode").alias("most_frequent"), *marks)
-
-
 # p8 ---------------------------------------------------------------------------------------
 
 
@@ -164,8 +138,6 @@ QUERIES = {
     "p5_survivors": p5_survivors,
     "p6_percentiles": p6_percentiles,
     "p6_months_joined": p6_months_joined,
-    "p7_coverage": p7_coverage,
-    "p7_profile": p7_profile,
     "p8_found": p8_found,
     "p9_selection": p9_selection,
     "p9_selection_flattened": p9_selection_flattened,
@@ -190,22 +162,4 @@ c as (select group_id, 'alignment_start' as field_name, record_id, failed, 0 as
 
 ORACLES = {
     "p5_found": _P5 + "select group_id, field_name, record_id from c qualify row_number() over (partition by group_id, field_name order by failed, score desc, loaded_at desc, record_id) = 1",
-    "p7_coverage": r"""
-with a as (select reference_sequence_id as r, alignment_start as s,
-             alignment_start + greatest(coalesce(list_sum([cast(x as bigint) for x in regexp_extract_all(cigar, '(\d+)[MDN=X]', 1)]), 0), 1) - 1 as e from alignments where alignment_start > 0),
-d as (select distinct r, s, e from a),
-m as (select *, max(e) over (partition by r order by s, e rows between unbounded preceding and 1 preceding) as before from d),
-b as (select r, sum(greatest(0, e - greatest(s - 1, coalesce(before, 0)))) as covered_bases from m group by r)
-select x.reference_sequence_id, x.records, x.distinct_starts, cast(coalesce(b.covered_bases, 0) as bigint) as covered_bases
-from (select reference_sequence_id, count(*) as records, count(distinct case when alignment_start > 0 then alignment_start end) as distinct_starts from alignments group by 1) x
-left join b on b.r is not distinct from x.reference_sequence_id""",
-    "p7_profile": """
-with b as (select reference_sequence_id, 'mapping_quality' as f, cast(mapping_quality as bigint) as v from alignments where mapping_quality <> 255
-           union all select reference_sequence_id, 'template_length', cast(template_length as bigint) from alignments where template_length <> 0),
-w as (select reference_sequence_id, f, v, count(*) as c from b group by all),
-z as (select *, sum(c) over (partition by reference_sequence_id, f order by v) as upto, sum(c) over (partition by reference_sequence_id, f) as n,
-        row_number() over (partition by reference_sequence_id, f order by c desc, v) as place from w)
-select reference_sequence_id, f as field, cast(max(n) as bigint) as n, count(*) as n_distinct, max(case when place = 1 then v end) as most_frequent,
-  min(case when upto >= greatest(ceil(0.05 * n), 1) then v end) as p05, min(case when upto >= greatest(ceil(0.5 * n), 1) then v end) as p50, min(case when upto >= greatest(ceil(0.95 * n), 1) then v end) as p95
-from z group by reference_sequence_id, f""",
 }
