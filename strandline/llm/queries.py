@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import cigar
 from strandline.llm import languages, leakage, mixing, quantiles, survivors
 from strandline.session import checkpointed, table
 
@@ -15,35 +14,37 @@ PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 # p5 ---------------------------------------------------------------------------------------
 
 
-def _survivors(spark: SparkSession, sf: str, *, payload: bool, dependent: bool) -> DataFrame:
+def _survivors(spark: SparkSession, sf: str, penalty: float) -> tuple[DataFrame, DataFrame, list[survivors.Bundle]]:
+    """The chosen records, all records, and the bundles. A read passed quality control or did not: all bundles carry that bit."""
     reads = table(spark, sf, "alignments").where(F.col("flags").bitwiseAND(0x900) == 0)
     keys = [F.regexp_replace("read_name", r"/[12]\z", ""), F.col("flags").bitwiseAND(0xC0)]
-    passed = F.when(F.col("flags").bitwiseAND(0x200) == 0, 1).otherwise(0)
+    failed = F.col("flags").bitwiseAND(0x200)
+    passed = F.when(failed == 0, 1).otherwise(0)
     scored = ~F.col("quality_scores").isin("", "*") & (F.length("quality_scores") == F.length("seq"))
-    length = cigar.read_length(F.col("cigar"))
     bundles = [
-        survivors.Bundle("alignment_start", ["reference_sequence_id", "alignment_start", "cigar"] if payload else [], F.col("alignment_start") > 0, [passed], F.when(length > 0, length) if dependent else None),
-        survivors.Bundle("mate_alignment_start", ["mate_reference_sequence_id", "mate_alignment_start"] if payload else [], F.col("mate_alignment_start") > 0, [passed]),
-        survivors.Bundle("quality_scores", ["seq", "quality_scores"] if payload else [], scored, [passed, survivors.score_sum(F.col("quality_scores"))], F.length("seq") if dependent else None),
+        survivors.Bundle("alignment_start", ["reference_sequence_id", "alignment_start", "cigar"], F.col("alignment_start") > 0, [passed], failed),
+        survivors.Bundle("mate_alignment_start", ["mate_reference_sequence_id", "mate_alignment_start"], F.col("mate_alignment_start") > 0, [passed], failed),
+        survivors.Bundle("quality_scores", ["seq", "quality_scores"], scored, [passed, survivors.score_sum(F.col("quality_scores"))], failed),
     ]
-    return survivors.survivors(reads, keys, bundles, record_id="record_id", recency="loaded_at")
+    return survivors.survivors(reads, keys, bundles, record_id="record_id", recency="loaded_at", penalty=penalty), reads, bundles
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = _survivors(spark, sf, payload=False, dependent=False)
-    return survivors.suppliers(found, ["alignment_start", "mate_alignment_start", "quality_scores"])
+    """A violated dependency costs nothing here: every field comes from the best record that has it."""
+    return survivors.suppliers(_survivors(spark, sf, 0.0)[0], ["alignment_start", "mate_alignment_start", "quality_scores"])
 
 
 def p5_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole surviving records whose CIGAR must fit their sequence."""
-    s = _survivors(spark, sf, payload=True, dependent=True)
-    return s.select(
-        "group_id",
-        "members",
-        *[F.col(f"alignment_start.{c}").alias(c) for c in ("reference_sequence_id", "alignment_start", "cigar")],
-        *[F.col(f"mate_alignment_start.{c}").alias(c) for c in ("mate_reference_sequence_id", "mate_alignment_start")],
-        *[F.col(f"quality_scores.{c}").alias(c) for c in ("seq", "quality_scores")],
-    )
+    """Whole surviving records, whose bundles all passed quality control or all failed it."""
+    chosen, reads, bundles = _survivors(spark, sf, float("inf"))
+    return survivors.with_fields(chosen, reads, bundles, record_id="record_id")
+
+
+def p5_branched(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups by whether the search went beyond the root, and what the dependency cost: bundles left empty."""
+    chosen = _survivors(spark, sf, float("inf"))[0]
+    empty = sum((F.col(n).isNull().cast("int") for n in ("alignment_start", "mate_alignment_start", "quality_scores")), F.lit(0))
+    return chosen.groupBy("branched").agg(F.count(F.lit(1)).alias("groups"), F.sum(empty).alias("empty_bundles"))
 
 
 # p6 ---------------------------------------------------------------------------------------
@@ -136,6 +137,7 @@ def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
+    "p5_branched": p5_branched,
     "p6_percentiles": p6_percentiles,
     "p6_months_joined": p6_months_joined,
     "p8_found": p8_found,
@@ -152,7 +154,7 @@ QUERIES = {
 _P5 = """
 with r as (select *, regexp_replace(read_name, '/[12]$', '') as k0, flags & 192 as k1, case when flags & 512 = 0 then 0 else 1 end as failed
            from alignments where flags & 2304 = 0),
-g as (select k0, k1, min(record_id) as group_id from r where k0 is not null group by all having count(*) > 1),
+g as (select k0, k1, min(record_id) as group_id, count(*) as n from r where k0 is not null group by all having count(*) > 1),
 m as (select r.*, g.group_id from r join g using (k0, k1)),
 c as (select group_id, 'alignment_start' as field_name, record_id, failed, 0 as score, loaded_at from m where alignment_start > 0
       union all select group_id, 'mate_alignment_start', record_id, failed, 0, loaded_at from m where mate_alignment_start > 0
@@ -160,6 +162,29 @@ c as (select group_id, 'alignment_start' as field_name, record_id, failed, 0 as
                 from m where quality_scores not in ('', '*') and length(quality_scores) = length(seq))
 """
 
+#: The survivors whose bundles share the bit: of each status the best records, and the status with more trust.
+_P5_AGREED = (
+    _P5
+    + """,
+s as (select group_id, field_name, failed, record_id from c qualify row_number() over (partition by group_id, field_name, failed order by score desc, loaded_at desc, record_id) = 1),
+w as (select group_id,
+  max(case when field_name = 'alignment_start' and failed = 0 then record_id end) as a0, max(case when field_name = 'alignment_start' and failed = 1 then record_id end) as a1,
+  max(case when field_name = 'mate_alignment_start' and failed = 0 then record_id end) as m0, max(case when field_name = 'mate_alignment_start' and failed = 1 then record_id end) as m1,
+  max(case when field_name = 'quality_scores' and failed = 0 then record_id end) as q0, max(case when field_name = 'quality_scores' and failed = 1 then record_id end) as q1 from s group by 1),
+v as (select g.group_id, g.members, w.* exclude (group_id), (a0 is not null)::int + (m0 is not null)::int + (q0 is not null)::int as pass,
+  case when a1 is null then 0 when a0 is null then 1 else 0.5 end + case when m1 is null then 0 when m0 is null then 1 else 0.5 end + case when q1 is null then 0 when q0 is null then 1 else 0.5 end as fail,
+  case when a0 is not null then 0 when a1 is not null then 1 when m0 is not null then 0 when m1 is not null then 1 when q0 is not null then 0 else 1 end as first_status,
+  list_filter([case when a0 is not null then 0 when a1 is not null then 1 end, case when m0 is not null then 0 when m1 is not null then 1 end, case when q0 is not null then 0 when q1 is not null then 1 end], lambda x: x is not null) as tops
+  from (select group_id, any_value(n) as members from g group by 1) g left join w using (group_id)),
+d as (select *, coalesce(list_min(tops) <> list_max(tops), false) as branched, case when coalesce(fail, 0) > coalesce(pass, 0) then 1 when coalesce(pass, 0) > coalesce(fail, 0) then 0 else first_status end as status from v),
+t as (select *, case when status = 0 then a0 else a1 end as a, case when status = 0 then m0 else m1 end as m, case when status = 0 then q0 else q1 end as q from d)
+"""
+)
+
 ORACLES = {
+    "p5_survivors": _P5_AGREED
+    + """select t.group_id, t.members, x.reference_sequence_id, x.alignment_start, x.cigar, y.mate_reference_sequence_id, y.mate_alignment_start, z.seq, z.quality_scores
+from t left join alignments x on x.record_id = t.a left join alignments y on y.record_id = t.m left join alignments z on z.record_id = t.q""",
+    "p5_branched": _P5_AGREED + "select branched, count(*) as \"groups\", cast(sum((a is null)::int + (m is null)::int + (q is null)::int) as bigint) as empty_bundles from t group by 1",
     "p5_found": _P5 + "select group_id, field_name, record_id from c qualify row_number() over (partition by group_id, field_name order by failed, score desc, loaded_at desc, record_id) = 1",
 }
