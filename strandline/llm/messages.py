@@ -11,14 +11,12 @@ from __future__ import annotations
 import binascii
 import html
 import re
-from collections.abc import Iterator
 from typing import NamedTuple
 
 _HEADER = re.compile(r"[!-9;-~]+[ \t]*:")
 _FOLD = re.compile(r"\n[ \t]+")
 _FIELDS = re.compile(r"^content-(type|transfer-encoding|disposition)[ \t]*:[ \t]*(.*)$", re.I | re.M)
 _PARAMETER = {n: re.compile(rf';[ \t]*{n}[ \t]*=[ \t]*(?:"([^"]*)"|([^\s;"]+))', re.I) for n in ("boundary", "charset", "name")}
-_DEPTH = 12
 
 
 class Part(NamedTuple):
@@ -64,38 +62,45 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
-def _entity(text: str, depth: int) -> Iterator[Part]:
+class _Entity(NamedTuple):
+    """An entity still to be read: a text with headers."""
+
+    text: str
+
+
+def _entity(text: str) -> Part | list[_Entity] | None:
+    """The text part an entity is, or the entities in it, or None."""
     if not _HEADER.match(text):
         # a part may start with the blank line that ends its (empty) headers
-        yield from _body("", "", "", text[1:] if text.startswith("\n") else text, depth)
-        return
+        return _body("", "", "", text[1:] if text.startswith("\n") else text)
     head, _, body = text.partition("\n\n")
     fields: dict[str, str] = {}
     if "ontent-" in head or "ONTENT-" in head:
         for name, value in _FIELDS.findall(_FOLD.sub(" ", head)):
             fields.setdefault(name.lower(), value)
-    yield from _body(fields.get("type", ""), fields.get("transfer-encoding", "").split(";")[0].strip().lower(), fields.get("disposition", ""), body, depth)
+    return _body(fields.get("type", ""), fields.get("transfer-encoding", "").split(";")[0].strip().lower(), fields.get("disposition", ""), body)
 
 
-def _body(ctype: str, encoding: str, disposition: str, body: str, depth: int) -> Iterator[Part]:
+def _body(ctype: str, encoding: str, disposition: str, body: str) -> Part | list[_Entity] | None:
     kind = ctype.split(";", 1)[0].strip().lower() or "text/plain"
-    if kind.startswith("multipart/") and depth < _DEPTH:
+    if kind.startswith("multipart/"):
         boundary = _parameter(ctype, "boundary")
         if boundary:
-            pieces = ("\n" + body).split("\n--" + boundary)
-            for piece in pieces[1:]:
+            inner = []
+            for piece in ("\n" + body).split("\n--" + boundary)[1:]:
                 if piece.startswith("--"):
                     break
                 _, newline, rest = piece.partition("\n")  # what follows the boundary on its line
                 if newline:
-                    yield from _entity(rest, depth + 1)
-            return
+                    inner.append(_Entity(rest))
+            return inner
         kind = "text/plain"
-    if kind == "message/rfc822" and depth < _DEPTH:
-        yield from _entity(_decoded(body, encoding, "").lstrip("\n"), depth + 1)
-    elif kind.startswith("text/") or kind.startswith("multipart/"):
+    if kind == "message/rfc822":
+        return [_Entity(_decoded(body, encoding, "").lstrip("\n"))]
+    if kind.startswith("text/"):
         attached = disposition.lstrip().lower().startswith("attachment") or (bool(disposition) and "filename" in disposition.lower())
-        yield Part(kind == "text/html", attached, _decoded(body, encoding, _parameter(ctype, "charset").lower()))
+        return Part(kind == "text/html", attached, _decoded(body, encoding, _parameter(ctype, "charset").lower()))
+    return None
 
 
 def text_parts(message: str | None) -> list[Part]:
@@ -106,7 +111,15 @@ def text_parts(message: str | None) -> list[Part]:
         message = message.replace("\r\n", "\n").replace("\r", "\n")
     if message.startswith("From ") or message.startswith(">From "):
         message = message.partition("\n")[2]
-    return list(_entity(message, 0))
+    parts: list[Part] = []
+    open_ = [_Entity(message)]  # a stack, so that nesting may be of any depth
+    while open_:
+        found = _entity(open_.pop().text)
+        if isinstance(found, Part):
+            parts.append(found)
+        elif found:
+            open_.extend(reversed(found))
+    return parts
 
 
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head|title)\b[^>]*>.*?</\1\s*>", re.I | re.S)

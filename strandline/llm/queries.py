@@ -59,16 +59,31 @@ def _measures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    counts = quantiles.frequencies(_measures(spark, sf), ["read_group_id", "field"], "value")
-    return quantiles.percentiles(quantiles.sketch(counts, ["read_group_id", "field"]), {"read_group_id": "int", "field": "string"}, PERCENTILES)
+    group = ["read_group_id", "field"]
+    merged = quantiles.merge(quantiles.sketch(_measures(spark, sf), group, "value"), group)
+    return quantiles.percentiles(merged, group, PERCENTILES).drop("low", "high")
 
 
 def p6_months_joined(spark: SparkSession, sf: str) -> DataFrame:
     """The same from sketches of single months, added up."""
-    counts = quantiles.frequencies(_measures(spark, sf), ["month", "read_group_id", "field"], "value")
-    monthly = quantiles.sketch(counts, ["month", "read_group_id", "field"])
-    merged = quantiles.merge(monthly, ["read_group_id", "field"])
-    return quantiles.percentiles(merged, {"read_group_id": "int", "field": "string"}, PERCENTILES)
+    monthly = quantiles.sketch(_measures(spark, sf), ["month", "read_group_id", "field"], "value")
+    group = ["read_group_id", "field"]
+    merged = quantiles.merge(quantiles.merge(monthly, ["month", *group]), group)
+    return quantiles.percentiles(merged, group, PERCENTILES).drop("low", "high")
+
+
+def p6_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every percentile against the rows themselves: whether no more than ``rank_error`` of them lie between its code and its rank."""
+    group = ["read_group_id", "field"]
+    rows = _measures(spark, sf).where(F.col("value").isNotNull()).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("c"))
+    merged = quantiles.merge(quantiles.sketch(_measures(spark, sf), group, "value"), group)
+    found = quantiles.percentiles(merged, group, PERCENTILES)
+    marks = found.groupBy(*group).agg(F.collect_list(F.struct("n", "rank_error", "probability", "low", "high")).alias("marks")).withColumnsRenamed({"read_group_id": "g", "field": "f"})
+    counted = rows.join(marks, F.col("read_group_id").eqNullSafe(F.col("g")) & (F.col("field") == F.col("f"))).select(*group, "value", "c", F.inline("marks"))
+    ranks = counted.groupBy(*group, "probability", "n", "rank_error").agg(F.sum(F.when(F.col("value") < F.col("low"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("value") <= F.col("high"), F.col("c")).otherwise(0)).alias("upto"), F.sum("c").alias("rows"))
+    rank, slack = F.greatest(F.ceil(F.col("probability") * F.col("n")), F.lit(1)), F.col("rank_error") * F.col("n") + 1e-6
+    within = (F.col("n") == F.col("rows")) & (rank > F.col("below") - slack) & (rank <= F.col("upto") + slack)
+    return ranks.select(*group, "probability", F.col("n"), within.alias("within_bound"))
 
 
 # p8 ---------------------------------------------------------------------------------------
@@ -140,6 +155,7 @@ QUERIES = {
     "p5_branched": p5_branched,
     "p6_percentiles": p6_percentiles,
     "p6_months_joined": p6_months_joined,
+    "p6_checked": p6_checked,
     "p8_found": p8_found,
     "p9_selection": p9_selection,
     "p9_selection_flattened": p9_selection_flattened,
@@ -186,5 +202,9 @@ ORACLES = {
     + """select t.group_id, t.members, x.reference_sequence_id, x.alignment_start, x.cigar, y.mate_reference_sequence_id, y.mate_alignment_start, z.seq, z.quality_scores
 from t left join alignments x on x.record_id = t.a left join alignments y on y.record_id = t.m left join alignments z on z.record_id = t.q""",
     "p5_branched": _P5_AGREED + "select branched, count(*) as \"groups\", cast(sum((a is null)::int + (m is null)::int + (q is null)::int) as bigint) as empty_bundles from t group by 1",
+    "p6_checked": """
+with m as (select read_group_id, 'mapping_quality' as field, cast(mapping_quality as bigint) as v from alignments where mapping_quality <> 255
+           union all select read_group_id, 'template_length', template_length from alignments where template_length <> 0)
+select read_group_id, field, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::double as probability, n, true as within_bound from (select read_group_id, field, count(*) as n from m group by all)""",
     "p5_found": _P5 + "select group_id, field_name, record_id from c qualify row_number() over (partition by group_id, field_name order by failed, score desc, loaded_at desc, record_id) = 1",
 }

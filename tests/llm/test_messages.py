@@ -43,3 +43,14 @@ def test_paragraphs_are_running_text_only():
     attached = f"Content-Type: text/plain\nContent-Disposition: attachment; filename=a.txt\n\n{LONG}"
     assert paragraphs(attached) == [] and part_words(attached) == [words(LONG)]
     assert len(paragraphs("a: b\n\n" + f"{LONG} " * 20000)) == 1
+
+
+def test_nesting_of_any_depth():
+    inner = "Content-Type: text/plain\n\nthe innermost words"
+    for _ in range(60):
+        inner = "Content-Type: message/rfc822\n\nSubject: x\n" + inner
+    assert [p.text for p in text_parts(inner)] == ["the innermost words"]
+    mixed = "Content-Type: text/plain\n\ndeep"
+    for i in range(40):
+        mixed = f'Content-Type: multipart/mixed; boundary="b{i}x"\n\n--b{i}x\n{mixed}\n--b{i}x\nContent-Type: text/plain\n\nafter {i}\n--b{i}x--\n'
+    assert [p.text.strip() for p in text_parts(mixed)] == ["deep", *[f"after {i}" for i in range(40)]]
