@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, bool] = {}
 
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     if _shipped.get(sc.applicationId):
         return
     package = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline.zip"
+    folder = tempfile.mkdtemp(prefix="strandline-")  # read by the driver alone, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "strandline.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(package.rglob("*.py")):
             z.write(file, file.relative_to(package.parent))
@@ -32,44 +36,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _local_folder(spark: SparkSession, name: str) -> str:
+    """A temporary folder of this machine, removed at exit; only where all tasks run on this machine too."""
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    folder = tempfile.mkdtemp(prefix=f"strandline-{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only in local mode and where
     that is unset (tests, a laptop) a temporary folder of this machine is used.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-checkpoint-"))
+        sc.setCheckpointDir(_local_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that other tasks read: in the shared checkpoint folder, or (where none is set) on this machine."""
+    """A new folder for files that other tasks read, removed when the application ends: in the shared checkpoint folder, or (in local mode without one) on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        return tempfile.mkdtemp(prefix=f"strandline-{name}-")
-    return f"{base.rstrip('/')}/strandline-{name}-{uuid.uuid4().hex}"
+        return _local_folder(spark, name)
+    folder = f"{base.rstrip('/')}/strandline-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, if its files are too small to fill them; else as it is.
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan before a costly Python stage, in as many partitions as there are cores if its files give fewer than half as many.
 
-    For scans before costly Python stages. What is moved is less than one split per core, by the sizes of the files.
+    Only tables of so few row groups are moved; others are read where they are split. ``scan`` must not shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
-    return df if size >= cores * split else df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if 2 * scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def within(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting one row beyond."""
     return df.limit(rows + 1).count() <= rows
-
-
-def blank_free(value: Column) -> Column:
-    """``value`` without the blanks around it."""
-    return F.trim(value)
