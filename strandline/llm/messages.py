@@ -54,6 +54,8 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
     for name in (charset or "utf-8", "utf-8", "cp1252"):
         try:
             text = raw.decode(name)
+            if name != "utf-8":  # some character sets can spell half a pair
+                text = text.encode("utf-8", "replace").decode("utf-8")
             break
         except (UnicodeDecodeError, LookupError, ValueError):
             continue

@@ -16,8 +16,8 @@ def brute(docs, items, n):
     return {(d, i) for d, t in docs if d is not None for ws in part_words(t) for k in range(len(ws) - n + 1) for i in held.get(tuple(ws[k : k + n]), ())}
 
 
-@pytest.mark.parametrize("block", [10_000, 60])
-def test_matches_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [27, 6])
+def test_matches_brute_force_also_with_a_full_map(spark, bits):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(4, 30)))) for i in range(12)] + [(50, None), (None, "a b"), (3, "w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1")]
@@ -29,7 +29,7 @@ def test_matches_brute_force(spark, block):
         ws[5:5] = src[a : a + rng.randint(3, 20)]
         docs.append((d, "Subject: s\n\n" + rng.choice([" ", ", ", "\n> "]).join(w.upper() if rng.random() < 0.2 else w for w in ws)))
     docs += [(None, docs[0][1]), (500, None), (501, ""), (502, "w1 " * 3000), docs[3]]
-    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string"), window=8, shingle=5, block_shingles=block)
+    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string"), window=8, shingle=5, map_bits=bits)
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(docs, items, 8) and len(rows) > 20
 
