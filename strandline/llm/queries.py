@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import languages, leakage, mixing, quantiles, survivors
@@ -96,31 +96,58 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 # p9 ---------------------------------------------------------------------------------------
 
 
-def _mix(spark: SparkSession, sf: str, **how) -> tuple[DataFrame, DataFrame]:
-    counts = checkpointed(mixing.token_counts(table(spark, sf, "documents"), "doc_id", "text", mixing.source_name(F.col("source"))))
-    targets = table(spark, sf, "mix_targets").withColumn("source", mixing.source_name(F.col("source")))
-    if how.pop("all_tokens", False):
-        goal = counts.join(F.broadcast(targets.select("source")), "source", "left_semi").agg(F.sum("n_tokens")).first()[0]
-        how["total_tokens"] = float(goal or 0)
-    return mixing.mix(counts, targets, **how)
+#: The vocabulary that sizes are counted with; ``strandline.vocabulary`` in the session names another file.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = spark.conf.get("strandline.vocabulary", VOCABULARY)
+    return checkpointed(mixing.token_counts(table(spark, sf, "documents"), "doc_id", "text", mixing.source_name(F.col("source")), vocabulary=vocabulary))
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "mix_targets").withColumn("source", mixing.source_name(F.col("source")))
 
 
 def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return _mix(spark, sf)[0]
+    """All tokens of the sources as total, weights from the exponent bisected until the caps hold."""
+    return mixing.mix(_counts(spark, sf), _targets(spark, sf))[0]
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return _mix(spark, sf)[1]
+    """The shares ``p9_selection`` reaches."""
+    return mixing.mix(_counts(spark, sf), _targets(spark, sf))[1]
+
+
+def p9_selection_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source with text at its target share; the total shrinks to what the scarcest one allows."""
+    return mixing.mix(_counts(spark, sf), _targets(spark, sf), policy="exact")[0]
+
+
+def p9_shares_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares ``p9_selection_exact`` reaches."""
+    return mixing.mix(_counts(spark, sf), _targets(spark, sf), policy="exact")[1]
 
 
-def p9_selection_flattened(spark: SparkSession, sf: str) -> DataFrame:
-    """The selection whose shares ``p9_shares_flattened`` reports."""
-    return _mix(spark, sf, policy="flatten", all_tokens=True)[0]
+def p9_shares_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Token shares exponentiated from equal ones, until their entropy is that of the target shares and the caps hold."""
+    return mixing.mix(_counts(spark, sf), _targets(spark, sf), base="equal", entropy_of_targets=True)[1]
 
 
-def p9_shares_flattened(spark: SparkSession, sf: str) -> DataFrame:
-    """All tokens of the sources kept as total, the exponent bisected until the caps hold."""
-    return _mix(spark, sf, policy="flatten", all_tokens=True)[1]
+def p9_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Per target: its documents with text, whether no document is used too often, and whether the budget is met to within a document."""
+    counts = _counts(spark, sf)
+    chosen, report = mixing.mix(counts, _targets(spark, sf))
+    sizes = counts.where(F.col("n_tokens") > 0).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.max("n_tokens").alias("longest"))
+    used = chosen.groupBy("source").agg(F.max("copies").alias("most"))
+    joined = report.join(sizes, "source", "left").join(used, "source", "left").withColumn("total", F.sum(F.when(F.col("weight") > 0, F.col("available_tokens"))).over(Window.partitionBy(F.lit(0))))
+    budget = F.least(F.col("weight") * F.col("total"), F.col("available_tokens") * F.col("max_repeats"))
+    return joined.select(
+        "source",
+        F.coalesce("documents", F.lit(0)).alias("documents"),
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("caps_hold"),
+        (F.abs(F.col("selected_tokens") - budget) <= F.coalesce("longest", F.lit(0)) + 1).alias("budget_met"),
+    )
 
 
 # p10 --------------------------------------------------------------------------------------
@@ -158,9 +185,11 @@ QUERIES = {
     "p6_checked": p6_checked,
     "p8_found": p8_found,
     "p9_selection": p9_selection,
-    "p9_selection_flattened": p9_selection_flattened,
+    "p9_selection_exact": p9_selection_exact,
     "p9_shares": p9_shares,
-    "p9_shares_flattened": p9_shares_flattened,
+    "p9_shares_exact": p9_shares_exact,
+    "p9_shares_entropy": p9_shares_entropy,
+    "p9_checked": p9_checked,
     "p10_found": p10_found,
     "p10_passages": p10_passages,
     "p10_segments": p10_segments,
@@ -206,5 +235,9 @@ from t left join alignments x on x.record_id = t.a left join alignments y on y.r
 with m as (select read_group_id, 'mapping_quality' as field, cast(mapping_quality as bigint) as v from alignments where mapping_quality <> 255
            union all select read_group_id, 'template_length', template_length from alignments where template_length <> 0)
 select read_group_id, field, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::double as probability, n, true as within_bound from (select read_group_id, field, count(*) as n from m group by all)""",
+    "p9_checked": """
+with t as (select distinct translate(lower(trim(source)), '_ ', '--') as source from mix_targets where source is not null),
+d as (select translate(lower(trim(source)), '_ ', '--') as source, count(*) as n from documents where source is not null and text <> '' group by 1)
+select t.source, coalesce(d.n, 0) as documents, true as caps_hold, true as budget_met from t left join d using (source)""",
     "p5_found": _P5 + "select group_id, field_name, record_id from c qualify row_number() over (partition by group_id, field_name order by failed, score desc, loaded_at desc, record_id) = 1",
 }
