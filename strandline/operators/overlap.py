@@ -1,8 +1,10 @@
-"""Overlap joins of intervals on hierarchical bins, and region filters.
+"""Overlap joins of intervals on tiles, and region filters.
 
-Every interval lies in one smallest bin. Two intervals can only overlap if the bin of one is that of
-the other or an ancestor of it, so each side is joined by its own bin with the ancestors (at most
-``depth + 1``) of the other side's: two equi-joins on (name, bin), each pair found exactly once.
+The positions are cut into tiles. An interval is cut at the finest of several tile sizes at which it touches no more
+than ``MOST_TILES`` of them, so that ordinary intervals lie in one or two small tiles and long ones in a bounded number of large
+ones. Two intervals meet at the larger of their two sizes: besides its own tiles a row is given those of the larger
+sizes that the other side really uses (a handful, looked up first). The join is one equi-join on name, size
+and tile; a pair is kept in the first tile that both touch. No key holds more than the rows of one tile.
 """
 
 from __future__ import annotations
@@ -21,44 +23,53 @@ def region_filter(rows: DataFrame, region: Region, *, name: str, start: Column,
     return rows.where(region.overlaps(F.col(name), start, end))
 
 
-def _ancestors(bin_: Column, depth: int, own: bool) -> Column:
-    out, at = ([bin_] if own else []), bin_
-    for _ in range(depth):
-        at = F.when(at > 0, F.shiftright(at - 1, 3))
-        out.append(at)
-    return F.array_compact(F.array(*out))
+#: Tiles of an interval at most, and the bits by which one tile size exceeds the one before.
+MOST_TILES, STEP = 64, 3
+
+
+def _size_no(start: Column, end: Column, tile_bits: int) -> Column:
+    """Number of the finest tile size at which the interval touches no more than ``MOST_TILES`` tiles."""
+    number = None
+    for n, bits in enumerate(range(tile_bits, 63, STEP)):
+        few = F.shiftright(end - 1, bits) - F.shiftright(start - 1, bits) < MOST_TILES
+        number = F.when(few, n) if number is None else number.when(few, n)
+    return number.otherwise(n + 1)
+
+
+def _touched(start: Column, end: Column, number: Column, tile_bits: int, own: bool) -> Column:
+    bits = F.least(number * STEP + tile_bits, F.lit(63))
+    tile = lambda x: F.call_function("shiftright", x - 1, bits)
+    return F.transform(F.sequence(tile(start), tile(end)), lambda t: F.struct(number.cast("int").alias("n"), t.alias("t"), F.lit(own).alias("own")))
 
 
 def overlap_join(
-    left: DataFrame, right: DataFrame, *, left_on: tuple[str, str, str], right_on: tuple[str, str, str], min_shift: int = bins.MIN_SHIFT, depth: int = bins.DEPTH, left_columns: Sequence[str] | None = None, right_columns: Sequence[str] | None = None
+    left: DataFrame, right: DataFrame, *, left_on: tuple[str, str, str], right_on: tuple[str, str, str], tile_bits: int = bins.MIN_SHIFT, left_columns: Sequence[str] | None = None, right_columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Pairs of rows with equal names and a shared position: ``left`` (struct) and ``right`` (struct).
 
     ``left_on``/``right_on``: columns of name, start and end. Rows with a NULL name or bound, a start below 1 or an end
-    below the start match nothing. Positions beyond the bins' range all fall into the last bin of their level's
-    extension, so any range is exact. Repeated rows give repeated pairs.
+    below the start match nothing. Positions may be any 64-bit integers. Repeated rows give repeated pairs; an empty side gives no rows.
     """
 
     def side(df: DataFrame, on: tuple[str, str, str], columns: Sequence[str] | None, tag: str) -> DataFrame:
         n, s, e = (F.col(c) for c in on)
         valid = df.where(n.isNotNull() & (s >= 1) & (e >= s))
-        top = 1 << (min_shift + 3 * depth)  # beyond the root's range: bins of neighbouring roots, told apart by the name's block
-        block = F.when(F.shiftright(s - 1, min_shift + 3 * depth) == F.shiftright(e - 1, min_shift + 3 * depth), F.shiftright(s - 1, min_shift + 3 * depth)).otherwise(-1)
-        own = F.when(block >= 0, bins.reg2bin((s - 1) % top + 1, (e - 1) % top + 1, min_shift, depth)).otherwise(0)
-        return valid.select(n.alias(f"_n{tag}"), s.alias(f"_s{tag}"), e.alias(f"_e{tag}"), block.alias(f"_k{tag}"), own.alias(f"_b{tag}"), F.struct(*(columns or df.columns)).alias(tag))
+        s, e = s.cast("bigint"), e.cast("bigint")
+        return valid.select(n.alias(f"_name{tag}"), s.alias(f"_s{tag}"), e.alias(f"_e{tag}"), _size_no(s, e, tile_bits).alias(f"_z{tag}"), F.struct(*(columns or df.columns)).alias(tag))
+
+    def sizes(df: DataFrame, tag: str) -> list[int]:
+        return sorted(df.agg(F.collect_set(f"_z{tag}")).first()[0])
+
+    def tiled(df: DataFrame, tag: str, others: list[int]) -> DataFrame:
+        s, e, z = F.col(f"_s{tag}"), F.col(f"_e{tag}"), F.col(f"_z{tag}")
+        own = _touched(s, e, z, tile_bits, True)
+        lifted = [F.when(z < n, _touched(s, e, F.lit(n), tile_bits, False)).otherwise(F.slice(own, 1, 0)) for n in others if n > 0]
+        return df.select(f"_name{tag}", f"_s{tag}", f"_e{tag}", tag, F.inline(F.concat(own, *lifted)).alias(f"_n{tag}", f"_t{tag}", f"_own{tag}"))
 
     a, b = side(left, left_on, left_columns, "left"), side(right, right_on, right_columns, "right")
-    # bins are numbered within a block of the root's range; an interval over several blocks sits above all blocks
-    key = lambda t: F.struct(F.col(f"_k{t}").alias("k"), F.col(f"_b{t}").alias("b"))
-
-    def up(t: str, own: bool) -> Column:
-        inside = F.transform(_ancestors(F.col(f"_b{t}"), depth, own), lambda x: F.struct(F.col(f"_k{t}").alias("k"), x.alias("b")))
-        above = F.array(F.struct(F.lit(-1).cast("bigint").alias("k"), F.lit(0).alias("b")))
-        return F.when(F.col(f"_k{t}") >= 0, F.concat(inside, above)).otherwise(above if own else F.slice(above, 1, 0))
-
-    meet = (F.col("_sleft") <= F.col("_eright")) & (F.col("_sright") <= F.col("_eleft")) & (F.col("_nleft") == F.col("_nright"))
-    below = b.withColumn("_x", F.explode(up("right", True)))
-    first = a.withColumn("_y", key("left")).join(below, (F.col("_nleft") == F.col("_nright")) & (F.col("_y.k") == F.col("_x.k")) & (F.col("_y.b") == F.col("_x.b")) & meet)
-    above = a.withColumn("_x", F.explode(up("left", False)))
-    second = above.join(b.withColumn("_y", key("right")), (F.col("_nleft") == F.col("_nright")) & (F.col("_y.k") == F.col("_x.k")) & (F.col("_y.b") == F.col("_x.b")) & meet)
-    return first.select("left", "right").unionByName(second.select("left", "right"))
+    a, b = tiled(a, "left", sizes(b, "right")), tiled(b, "right", sizes(a, "left"))
+    later = F.greatest("_sleft", "_sright") - 1
+    first = F.col("_tleft") == F.call_function("shiftright", later, F.least(F.col("_nleft") * STEP + tile_bits, F.lit(63)))
+    meet = (F.col("_nameleft") == F.col("_nameright")) & (F.col("_nleft") == F.col("_nright")) & (F.col("_tleft") == F.col("_tright"))
+    kept = (F.col("_ownleft") | F.col("_ownright")) & (F.col("_sleft") <= F.col("_eright")) & (F.col("_sright") <= F.col("_eleft")) & first
+    return a.join(b, meet & kept).select("left", "right")

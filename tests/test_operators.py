@@ -48,15 +48,17 @@ def test_overlap_join_matches_naive(spark):
 
     def side(n):
         out = [(rng.choice(["x", "x", "y", None]), s, s + rng.choice([0, 5, 40, 3000, -3])) for s in (rng.randint(-2, 5000) for _ in range(n))]
-        return [(i, *r) for i, r in enumerate([*out, ("x", None, 5), ("x", 5, None), ("x", 1, 10**6)])]
+        return [(i, *r) for i, r in enumerate([*out, ("x", None, 5), ("x", 5, None), ("x", 1, 10**6), ("x", 3000, 2**63 - 1)])]
 
     a, b = side(150), side(80)
     schema = "id int, n string, s bigint, e bigint"
     want = sorted((p[0], q[0]) for p in a for q in b if None not in p + q and p[1] == q[1] and p[2] >= 1 and q[2] >= 1 and p[3] >= p[2] and q[3] >= q[2] and p[2] <= q[3] and q[2] <= p[3])
     l, r = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
-    for shift, depth in ((4, 2), (4, 3), (14, 5)):
-        got = overlap_join(l, r, left_on=("n", "s", "e"), right_on=("n", "s", "e"), min_shift=shift, depth=depth)
+    for bits in (1, 4, 14):
+        got = overlap_join(l, r, left_on=("n", "s", "e"), right_on=("n", "s", "e"), tile_bits=bits)
         assert sorted((x["left"]["id"], x["right"]["id"]) for x in got.collect()) == want
+    joined = overlap_join(l, r, left_on=("n", "s", "e"), right_on=("n", "s", "e"), tile_bits=4)
+    assert "SortMergeJoin" in joined._jdf.queryExecution().toString() or "HashJoin" in joined._jdf.queryExecution().toString()
     assert overlap_join(l.limit(0), r, left_on=("n", "s", "e"), right_on=("n", "s", "e")).count() == 0
 
 
