@@ -46,3 +46,28 @@ def integer_tag(tags: Column, tag: str) -> Column:
     """An integer tag; NULL where it is missing, an error where it has another type."""
     v = F.try_element_at(tags, F.lit(tag))
     return F.when(v.isNull(), F.lit(None).cast("bigint")).when(v["type"] == "i", v["i"]).otherwise(F.raise_error(F.concat(F.lit(f"{tag} is no integer: "), v["type"])).cast("bigint"))
+
+
+def _typed(ty: str, value: Column) -> Column:
+    null = F.lit(None)
+    return F.struct(
+        F.lit(ty).alias("type"),
+        (value if ty == "i" else null).cast("bigint").alias("i"),
+        (value if ty == "f" else null).cast("float").alias("f"),
+        (value if ty in "AZH" else null).cast("string").alias("s"),
+        (value if ty[0] == "B" and ty[1] != "f" else null).cast("array<bigint>").alias("ai"),
+        (value if ty == "Bf" else null).cast("array<float>").alias("af"),
+    )
+
+
+def with_tag(tags: Column, tag: str, ty: str, value: Column) -> Column:
+    """A tag map with a tag set to a value of type ``i``, ``f``, ``A``, ``Z``, ``H`` or ``B`` and a subtype; one that is there is replaced in its place."""
+    new = _typed(ty, value)
+    kept = F.coalesce(tags, F.expr(f"cast(map() as map<string,{TAG_STRUCT}>)"))
+    replaced = F.transform_values(kept, lambda k, v: F.when(k == tag, new).otherwise(v))
+    return F.when(F.map_contains_key(kept, tag), replaced).otherwise(F.map_concat(kept, F.create_map(F.lit(tag), new)))
+
+
+def without_tag(tags: Column, tag: str) -> Column:
+    """A tag map without a tag, in the same order."""
+    return F.map_filter(tags, lambda k, v: k != tag)

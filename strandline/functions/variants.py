@@ -55,6 +55,25 @@ def info_value(info: Column, key: str, number: str, ty: str) -> Column:
     return F.when(raw != ".", F.transform(F.split(raw, ","), one))
 
 
+def with_info(info: Column, key: str, value: Column) -> Column:
+    """An INFO map with a key set to a text (NULL: a flag); one that is there is replaced in its place."""
+    kept = F.coalesce(info, F.expr("cast(map() as map<string,string>)"))
+    new = value.cast("string")
+    replaced = F.transform_values(kept, lambda k, v: F.when(k == key, new).otherwise(v))
+    return F.when(F.map_contains_key(kept, key), replaced).otherwise(F.map_concat(kept, F.create_map(F.lit(key), new)))
+
+
+def without_info(info: Column, key: str) -> Column:
+    """An INFO map without a key, in the same order."""
+    return F.map_filter(info, lambda k, v: k != key)
+
+
+def info_text(info: Column) -> Column:
+    """The text of an INFO map, ``.`` if it is missing or empty."""
+    text = F.array_join(F.transform(F.map_entries(info), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return F.when(F.coalesce(F.size(info), F.lit(0)) > 0, text).otherwise(".")
+
+
 def sample_map(format_: Column, sample: Column) -> Column:
     """``map<string, string>`` of a sample column; trailing fields may be left out, ``.`` is NULL."""
     keys, values = F.split(format_, ":"), F.split(sample, ":")

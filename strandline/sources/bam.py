@@ -8,8 +8,6 @@ reads only the chunks that may hold it. ``read_bam`` adds the exact overlap test
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -17,7 +15,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from strandline.functions import bins as B
@@ -25,7 +23,7 @@ from strandline.functions import cigar as cg
 from strandline.functions.bases import FOUR_BIT
 from strandline.functions.regions import Region
 from strandline.functions.tags import TAG_STRUCT
-from strandline.sources import bgzf, binning
+from strandline.sources import bgzf, binning, storage
 from strandline.sources.headers import SamHeader
 
 SCHEMA = f"name string, flags int, rname string, pos bigint, mapq smallint, cigar string, mate_rname string, mate_pos bigint, tlen int, seq string, qual string, tags map<string,{TAG_STRUCT}>"
@@ -212,11 +210,11 @@ def records(r: bgzf.Reader, end: int | None = None) -> Iterator[tuple[int, bytes
 def index_of(path: str) -> binning.Index | None:
     """The index beside a file: ``.bai``, then ``.csi``."""
     for name in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai"):
-        if os.path.exists(name):
-            with open(name, "rb") as f:
+        if storage.exists(name):
+            with storage.reading(name) as f:
                 return binning.parse_bai(f.read())
-    if os.path.exists(f"{path}.csi"):
-        with open(f"{path}.csi", "rb") as f:
+    if storage.exists(f"{path}.csi"):
+        with storage.reading(f"{path}.csi") as f:
             return binning.parse_csi(bgzf.Reader(f).read())
     return None
 
@@ -237,10 +235,10 @@ def build_index(f: BinaryIO, *, csi: bool = False) -> binning.Index:
 
 
 def write_index(path: str, *, csi: bool = False) -> str:
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         index = build_index(f, csi=csi)
     out = f"{path}.csi" if csi else f"{path}.bai"
-    with open(out, "wb") as f:
+    with storage.writing(out) as f:
         if csi:
             w = bgzf.Writer(f)
             w.write(binning.csi_bytes(index))
@@ -252,7 +250,7 @@ def write_index(path: str, *, csi: bool = False) -> str:
 
 def quickcheck(path: str) -> bool:
     """Whether a file has a dictionary and ends as it should."""
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         try:
             header, _ = read_header(bgzf.Reader(f))
         except (ValueError, struct.error, UnicodeDecodeError):
@@ -318,10 +316,10 @@ class _Reader(DataSourceReader):
         for p in self.paths:
             index = index_of(p) if self.region is not None else None
             if index is None:
-                size = os.path.getsize(p)
+                size = storage.size(p)
                 out += [_Piece(p, a, min(a + self.task_bytes, size), cut=True) for a in range(0, max(size, 1), self.task_bytes)]
                 continue
-            with open(p, "rb") as f:
+            with storage.reading(p) as f:
                 _, names = read_header(bgzf.Reader(f))
             if self.region.name not in names:
                 raise ValueError(f"{self.region.name!r} is not in the dictionary of {p}")
@@ -331,7 +329,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
+        with storage.reading(partition.path) as f:
             r = bgzf.Reader(f)
             _, names = read_header(r)
             end = partition.end
@@ -356,60 +354,28 @@ class _Reader(DataSourceReader):
     @staticmethod
     def _after_header(path: str) -> int:
         """The first record's position: a large header may fill more than a task's bytes."""
-        with open(path, "rb") as f:
+        with storage.reading(path) as f:
             r = bgzf.Reader(f)
             read_header(r)
             return r.position
 
 
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(path, "*.bam")))
-    return sorted(glob.glob(path)) or [path]
+    return storage.listed(path, (".bam",))
 
 
-class _Done(WriterCommitMessage):
-    def __init__(self, name: str) -> None:
-        self.name = name
+class _Writer(storage.PartsWriter):
+    ending = ".bam"
 
-
-class _Writer(DataSourceWriter):
-    def __init__(self, options: dict[str, str], overwrite: bool) -> None:
-        self.path = options["path"].removeprefix("file://").removeprefix("file:")
-        self.header = options.get("header", "")
-        if overwrite and os.path.isdir(self.path):
-            for name in _files(self.path):
-                os.remove(name)
-        os.makedirs(self.path, exist_ok=True)
-
-    def write(self, iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        header = SamHeader.parse(self.header)
+    def encode(self, batches: Iterator[pa.RecordBatch], out: BinaryIO) -> None:
+        header = SamHeader.parse(self.options.get("header", ""))
         ids = {n: i for i, n in enumerate(header.sequences)}
-        ctx = TaskContext.get()
-        name = f"part-{ctx.partitionId():05d}.bam"
-        # a second attempt writes its own file; only a finished one gets the name
-        at = os.path.join(self.path, f".{name}.{ctx.taskAttemptId()}")
-        with open(at, "wb") as f:
-            w = bgzf.Writer(f)
-            w.write(header_bytes(header))
-            for row in iterator:
-                w.write(encode(tuple(row), ids))
-            w.close()
-        return _Done(at)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m is not None:
-                head, name = os.path.split(m.name)
-                os.replace(m.name, os.path.join(head, name[1:].rsplit(".", 1)[0]))
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.name):
-                os.remove(m.name)
+        w = bgzf.Writer(out)
+        w.write(header_bytes(header))
+        for b in batches:
+            for row in b.to_pylist():
+                w.write(encode(tuple(row.values()), ids))
+        w.close()
 
 
 class BamSource(DataSource):
@@ -425,7 +391,7 @@ class BamSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(dict(self.options), overwrite)
 
 
@@ -451,10 +417,10 @@ def write_bam(df: DataFrame, path: str, header: SamHeader, *, mode: str = "appen
 
 def concatenate(paths: list[str], out: str) -> None:
     """Records of several files under the header of the first, copied as they are."""
-    with open(out, "wb") as g:
+    with storage.writing(out) as g:
         w = bgzf.Writer(g)
         for i, p in enumerate(paths):
-            with open(p, "rb") as f:
+            with storage.reading(p) as f:
                 r = bgzf.Reader(f)
                 header, _ = read_header(r)
                 if i == 0:
@@ -466,7 +432,7 @@ def concatenate(paths: list[str], out: str) -> None:
 
 def reheader(path: str, header: SamHeader, out: str) -> None:
     """The records of a file under another header."""
-    with open(path, "rb") as f, open(out, "wb") as g:
+    with storage.reading(path) as f, storage.writing(out) as g:
         r, w = bgzf.Reader(f), bgzf.Writer(g)
         read_header(r)
         w.write(header_bytes(header))

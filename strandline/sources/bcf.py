@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import glob
 import math
-import os
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from strandline.functions.regions import Region
 from strandline.functions.variants import variant_end
-from strandline.sources import bgzf, binning
+from strandline.sources import bgzf, binning, storage
 from strandline.sources.headers import VcfHeader
 
 SCHEMA = "chrom string, pos bigint, ids array<string>, ref string, alt array<string>, qual float, filters array<string>, info map<string,string>, format array<string>, samples array<map<string,string>>"
@@ -218,19 +217,17 @@ def read_header(r: bgzf.Reader) -> VcfHeader:
     return VcfHeader.parse(r.read(n).rstrip(b"\0").decode())
 
 
-def write_file(rows: Iterator[tuple], header: VcfHeader, path: str) -> None:
+def write_to(f: BinaryIO, rows: Iterator[tuple], header: VcfHeader) -> None:
     text = str(header).encode() + b"\0"
-    with open(path, "wb") as f:
-        w = bgzf.Writer(f)
-        w.write(b"BCF\2\2" + struct.pack("<I", len(text)) + text)
-        for row in rows:
-            w.write(encode(row, header))
-        w.close()
+    w = bgzf.Writer(f)
+    w.write(b"BCF\2\2" + struct.pack("<I", len(text)) + text)
+    for row in rows:
+        w.write(encode(row, header))
+    w.close()
 
 
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    return sorted(glob.glob(os.path.join(path, "*.bcf"))) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
+    return storage.listed(path, (".bcf",))
 
 
 def records(r: bgzf.Reader, end: int | None = None) -> Iterator[tuple[int, bytes, bytes]]:
@@ -246,7 +243,7 @@ def records(r: bgzf.Reader, end: int | None = None) -> Iterator[tuple[int, bytes
 
 def write_index(path: str) -> str:
     """A CSI index beside a sorted file; a record without a position raises."""
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         r = bgzf.Reader(f)
         header = read_header(r)
         b = binning.Builder(len(header.records["contig"]), csi=True)
@@ -255,7 +252,7 @@ def write_index(path: str) -> str:
             if pos < 0:
                 raise ValueError("a record without a position can't be indexed")
             b.add(chrom, pos + 1, pos + max(span, 1), True, (at, r.position))
-    with open(f"{path}.csi", "wb") as f:
+    with storage.writing(f"{path}.csi") as f:
         w = bgzf.Writer(f)
         w.write(binning.csi_bytes(b.finish()))
         w.close()
@@ -277,10 +274,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for p in self.paths:
-            if self.region is None or not os.path.exists(f"{p}.csi"):
+            if self.region is None or not storage.exists(f"{p}.csi"):
                 out.append(_Piece(p))
                 continue
-            with open(p, "rb") as f, open(f"{p}.csi", "rb") as g:
+            with storage.reading(p) as f, storage.reading(f"{p}.csi") as g:
                 contigs = list(read_header(bgzf.Reader(f)).records["contig"])
                 index = binning.parse_csi(bgzf.Reader(g).read())
             if self.region.name in contigs:
@@ -290,7 +287,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
+        with storage.reading(partition.path) as f:
             r = bgzf.Reader(f)
             header = read_header(r)
             contigs, strings = list(header.records["contig"]), {i: k for k, i in header.string_map().items()}
@@ -310,6 +307,14 @@ class _Reader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
 
+class _Writer(storage.PartsWriter):
+    ending = ".bcf"
+
+    def encode(self, batches: Iterator[pa.RecordBatch], out: BinaryIO) -> None:
+        rows = (tuple(r[f.name] for f in ARROW) for b in batches for r in b.to_pylist())
+        write_to(out, rows, VcfHeader.parse(self.options["header"]))
+
+
 class BcfSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -321,6 +326,9 @@ class BcfSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(dict(self.options), overwrite)
+
 
 def read_bcf(spark: SparkSession, path: str, *, region: str | None = None) -> DataFrame:
     """Variants of files with the columns of ``read_vcf``: one task a file, or of a region (exactly those that overlap it) one a chunk."""
@@ -333,19 +341,7 @@ def read_bcf(spark: SparkSession, path: str, *, region: str | None = None) -> Da
     return df.where(Region.parse(region).overlaps(F.col("chrom"), F.col("pos"), variant_end(F.col("pos"), F.col("ref"), end=end)))
 
 
-def write_bcf(df: DataFrame, path: str, header: VcfHeader) -> None:
-    """One file per partition in the folder ``path``; an attempt's file is renamed only when it is complete."""
-    folder, text = path.removeprefix("file://").removeprefix("file:"), str(header)
-    os.makedirs(folder, exist_ok=True)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        name = os.path.join(folder, f"part-{ctx.partitionId():05d}.bcf")
-        rows = (tuple(r[f.name] for f in ARROW) for b in batches for r in b.to_pylist())
-        write_file(rows, VcfHeader.parse(text), at := f"{name}.{ctx.taskAttemptId()}.tmp")
-        os.replace(at, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
-
-    df.select(*[f.name for f in ARROW]).mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
+def write_bcf(df: DataFrame, path: str, header: VcfHeader, *, mode: str = "append") -> None:
+    """One file per partition in the folder ``path``, named when all are complete."""
+    df.sparkSession.dataSource.register(BcfSource)
+    df.select(*[f.name for f in ARROW]).write.format("strandline_bcf").option("header", str(header)).mode(mode).save(path)

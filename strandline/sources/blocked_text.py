@@ -7,23 +7,22 @@ in its range by its magic number, and owns the lines that begin in its blocks. W
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from strandline.functions import cigar as cg
 from strandline.functions import variants
 from strandline.functions.regions import Region
-from strandline.sources import bgzf, binning, text
+from strandline.sources import bgzf, binning, storage, text
 
 _MAGIC = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00", re.S)
 TASK_BYTES = 32 << 20
@@ -31,16 +30,13 @@ BATCH = 20_000
 
 
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if p.endswith((".gz", ".bgz")))
-    return sorted(glob.glob(path)) or [path]
+    return storage.listed(path, (".gz", ".bgz"))
 
 
 def index_of(path: str) -> binning.Index | None:
     for ending, parse in ((".tbi", binning.parse_tbi), (".csi", binning.parse_csi)):
-        if os.path.exists(path + ending):
-            with open(path + ending, "rb") as f:
+        if storage.exists(path + ending):
+            with storage.reading(path + ending) as f:
                 return parse(bgzf.Reader(f).read())
     return None
 
@@ -67,7 +63,7 @@ def first_block(f, start: int) -> int | None:
 
 
 def lines_of(piece: _Piece) -> Iterator[bytes]:
-    with open(piece.path, "rb") as f:
+    with storage.reading(piece.path) as f:
         r = bgzf.Reader(f)
         if piece.chunk:
             r.seek(piece.start)
@@ -124,7 +120,7 @@ class _Reader(DataSourceReader):
         for p in self.paths:
             index = index_of(p) if self.region else None
             if index is None or index.header is None:
-                size = os.path.getsize(p)
+                size = storage.size(p)
                 out += [_Piece(p, a, min(a + self.task_bytes, size), False) for a in range(0, max(size, 1), self.task_bytes)]
             elif self.region.name in index.header.names:
                 out += [_Piece(p, a, z, True) for a, z in index.query(index.header.names.index(self.region.name), self.region.start, self.region.end)]
@@ -158,6 +154,9 @@ class LinesSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(dict(self.options), overwrite)
+
 
 def read_lines(spark: SparkSession, path: str, *, region: str | None = None) -> DataFrame:
     """Lines ``value`` of blocked gzip files with their ``file``; with a region a superset of its lines."""
@@ -215,7 +214,7 @@ def write_index(path: str, preset: str, *, csi: bool = False) -> str:
     found: list[tuple[int, int, int, tuple[int, int]]] = []
     comment = binning.PRESETS[preset][4]
     unplaced = 0
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         r = bgzf.Reader(f)
         rest, begun = b"", r.position
         for line, chunk in _positioned(r):
@@ -235,7 +234,7 @@ def write_index(path: str, preset: str, *, csi: bool = False) -> str:
     index = b.finish()
     index.unplaced, index.header = unplaced, binning.preset(preset, list(names))
     out = path + (".csi" if csi else ".tbi")
-    with open(out, "wb") as f:
+    with storage.writing(out) as f:
         w = bgzf.Writer(f)
         w.write(binning.csi_bytes(index) if csi else binning.tbi_bytes(index))
         w.close()
@@ -261,9 +260,56 @@ def _positioned(r: bgzf.Reader) -> Iterator[tuple[str, tuple[int, int]]]:
         begun = r.position
 
 
+class _Writer(storage.PartsWriter):
+    """Lines as block-compressed files, each beginning with the header."""
+
+    ending = ".gz"
+
+    def __init__(self, options: dict[str, str], overwrite: bool) -> None:
+        self.ending = options.get("ending", ".gz")
+        super().__init__(options, overwrite)
+
+    def encode(self, batches: Iterator[pa.RecordBatch], out: BinaryIO) -> None:
+        w = bgzf.Writer(out)
+        w.write(self.options.get("header", "").encode())
+        for b in batches:
+            w.write(b"".join(line.encode() + b"\n" for line in b.column(0).to_pylist()))
+        w.close()
+
+
+def write_lines(df: DataFrame, line: Column, path: str, *, ending: str = ".gz", header: str = "", mode: str = "append") -> None:
+    """Lines as block-compressed files (``ending`` such as ``.sam.gz``), one per partition, each beginning with ``header`` (with its line feeds)."""
+    df.sparkSession.dataSource.register(LinesSource)
+    df.select(line.alias("value"), F.lit("").alias("file")).write.format("strandline_lines").option("ending", ending).option("header", header).mode(mode).save(path)
+
+
+def reheader(path: str, header: str, out: str, comment: str = "#") -> None:
+    """The records of a blocked text file under another header (with its line feeds); whole lines after the old header are copied."""
+    with storage.reading(path) as f, storage.writing(out) as g:
+        r, w = bgzf.Reader(f), bgzf.Writer(g)
+        w.write(header.encode())
+        rest, heading = b"", True
+        while piece := r.read(1 << 20):
+            if not heading:
+                w.write(piece)
+                continue
+            rest += piece
+            while heading and (cut := rest.find(b"\n")) >= 0:
+                if rest.startswith(comment.encode()):
+                    rest = rest[cut + 1 :]
+                else:
+                    heading = False
+            if not heading:
+                w.write(rest)
+                rest = b""
+        if rest and not rest.startswith(comment.encode()):
+            w.write(rest)
+        w.close()
+
+
 def compress(lines: Iterator[str], path: str) -> None:
     """Lines as one blocked gzip file."""
-    with open(path, "wb") as f:
+    with storage.writing(path) as f:
         w = bgzf.Writer(f)
         for line in lines:
             w.write(line.encode() + b"\n")

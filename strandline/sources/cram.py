@@ -7,23 +7,23 @@ reference, from bases in the records, or from an indexed FASTA file (option ``re
 
 from __future__ import annotations
 
-import glob
+import gzip
 import hashlib
-import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from strandline.functions import cigar as cg
 from strandline.functions.regions import Region
-from strandline.sources import bam, entropy, sequences
+from strandline.sources import bam, entropy, sequences, storage
 from strandline.sources.entropy import Bytes, itf8, ltf8
 from strandline.sources.headers import SamHeader
 
@@ -124,6 +124,14 @@ def containers(f) -> Iterator[Container]:
         f.seek(c.offset + c.size)
 
 
+def containers_at(f, offsets: list[int]) -> Iterator[Container]:
+    """Headers of the data containers that begin at the given bytes."""
+    for at in offsets:
+        f.seek(at)
+        if (c := _container(f)) is not None and not c.is_end:
+            yield c
+
+
 class Bits:
     """Bits of the core block, the highest first."""
 
@@ -318,9 +326,9 @@ class References:
             raise ValueError("this file needs a reference")
         if self.index is None:
             fai = f"{self.path}.fai"
-            if os.path.exists(fai):
-                with open(fai) as f:
-                    records = sequences.parse_fai(f.read())
+            if storage.exists(fai):
+                with storage.reading(fai) as f:
+                    records = sequences.parse_fai(f.read().decode())
             else:
                 records = sequences.index_fasta(self.path)
             self.index = {r.name: r for r in records}
@@ -659,36 +667,35 @@ class _SliceWriter:
         return _pack_container(self.ref, self.start, self.span, self.n, self.counter, self.bases, [first, _pack_block(SLICE, 0, slice_, entropy.RAW), *data], [len(first)])
 
 
-def write_file(rows: Iterator[tuple], header: SamHeader, path: str, *, method: int = entropy.GZIP) -> None:
-    """Rows as one file of slices of ``SLICE_RECORDS`` records; ``method`` compresses the blocks."""
+def write_to(f: BinaryIO, rows: Iterator[tuple], header: SamHeader, *, method: int = entropy.GZIP) -> None:
+    """Rows into a file of slices of ``SLICE_RECORDS`` records; ``method`` compresses the blocks."""
     names, groups = ({n: i for i, n in enumerate(x)} for x in (header.sequences, header.groups))
     minor = 1 if method > entropy.RANS4 else 0
     text = str(header).encode()
-    with open(path, "wb") as f:
-        f.write(b"CRAM\3" + bytes([minor]) + bytes(20))
-        f.write(_pack_container(0, 0, 0, 0, 0, 0, [_pack_block(HEADER, 0, struct.pack("<i", len(text)) + text, entropy.RAW)], [0]))
-        held: list[tuple] = []
-        counter = 0
-
-        def flush() -> None:
-            nonlocal counter
-            if held:
-                f.write(_SliceWriter(held, names, groups, counter).pack(method))
-                counter += len(held)
-                held.clear()
-
-        for row in rows:
-            held.append(tuple(row))
-            if len(held) == SLICE_RECORDS:
-                flush()
-        flush()
-        f.write(EOF)
+    f.write(b"CRAM\3" + bytes([minor]) + bytes(20))
+    f.write(_pack_container(0, 0, 0, 0, 0, 0, [_pack_block(HEADER, 0, struct.pack("<i", len(text)) + text, entropy.RAW)], [0]))
+    held: list[tuple] = []
+    counter = 0
+
+    def flush() -> None:
+        nonlocal counter
+        if held:
+            f.write(_SliceWriter(held, names, groups, counter).pack(method))
+            counter += len(held)
+            held.clear()
+
+    for row in rows:
+        held.append(tuple(row))
+        if len(held) == SLICE_RECORDS:
+            flush()
+    flush()
+    f.write(EOF)
 
 
 def build_crai(path: str, reference: str | None = None) -> list[tuple[int, int, int, int, int, int]]:
     """Index rows of a file: reference, start, span, container offset, landmark, slice size; one per slice and reference."""
     out = []
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         header = _open(f)
         at = f.tell()
         for c in containers(f):
@@ -718,11 +725,9 @@ def build_crai(path: str, reference: str | None = None) -> list[tuple[int, int,
 
 def write_crai(path: str, reference: str | None = None) -> str:
     """Index a file beside it."""
-    import gzip
-
     rows = build_crai(path, reference)
-    with gzip.open(f"{path}.crai", "wt") as f:
-        f.writelines("\t".join(map(str, r)) + "\n" for r in rows)
+    with storage.writing(f"{path}.crai") as f:
+        f.write(gzip.compress("".join("\t".join(map(str, r)) + "\n" for r in rows).encode()))
     return f"{path}.crai"
 
 
@@ -745,8 +750,7 @@ class _Piece(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        path = options["path"].removeprefix("file://").removeprefix("file:")
-        self.paths = sorted(glob.glob(os.path.join(path, "*.cram"))) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
+        self.paths = storage.listed(options["path"], (".cram",))
         self.reference = options.get("reference") or None
         self.region = Region.parse(options["region"]) if options.get("region") else None
         self.task_bytes = int(options.get("task_bytes", 8 << 20))
@@ -754,10 +758,11 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for p in self.paths:
-            with open(p, "rb") as f:
+            with storage.reading(p) as f:
                 names = list(_open(f).sequences)
                 held: list[tuple[int, int]] = []
-                for c in containers(f):
+                indexed = self._indexed(p, names) if self.region else None
+                for c in containers(f) if indexed is None else containers_at(f, indexed):
                     if self.region and not self._may_hold(c, names):
                         continue
                     held.append((c.offset, c.size))
@@ -768,6 +773,15 @@ class _Reader(DataSourceReader):
                     out.append(_Piece(p, held))
         return out or [_Piece("", [])]
 
+    def _indexed(self, path: str, names: list[str]) -> list[int] | None:
+        """Offsets of the containers that an index beside the file (``.crai``) names for the region."""
+        if not storage.exists(f"{path}.crai"):
+            return None
+        with storage.reading(f"{path}.crai") as f:
+            rows = [[int(x) for x in line.split("\t")] for line in gzip.decompress(f.read()).decode().splitlines() if line]
+        r = self.region
+        return sorted({at for ref, start, span, at, *_ in rows if 0 <= ref < len(names) and names[ref] == r.name and (r.end is None or start <= r.end) and (r.start is None or start + span - 1 >= r.start)})
+
     def _may_hold(self, c: Container, names: list[str]) -> bool:
         r = self.region
         if c.ref == -2:
@@ -780,7 +794,7 @@ class _Reader(DataSourceReader):
         if not partition.path:
             return
         references = References(self.reference)
-        with open(partition.path, "rb") as f:
+        with storage.reading(partition.path) as f:
             header = _open(f)
             names, groups = list(header.sequences), list(header.groups)
             for offset, size in partition.bodies:
@@ -790,6 +804,14 @@ class _Reader(DataSourceReader):
                     yield bam._batch(rows)
 
 
+class _Writer(storage.PartsWriter):
+    ending = ".cram"
+
+    def encode(self, batches: Iterator[pa.RecordBatch], out: BinaryIO) -> None:
+        rows = (tuple(r[f.name] for f in bam.ARROW) for b in batches for r in b.to_pylist())
+        write_to(out, rows, SamHeader.parse(self.options["header"]), method=int(self.options.get("method", entropy.GZIP)))
+
+
 class CramSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -801,6 +823,9 @@ class CramSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(dict(self.options), overwrite)
+
 
 def read_cram(spark: SparkSession, path: str, *, reference: str | None = None, region: str | None = None) -> DataFrame:
     """Alignments of a file, a folder or a pattern; of a region exactly those that overlap it, each once."""
@@ -812,19 +837,7 @@ def read_cram(spark: SparkSession, path: str, *, reference: str | None = None, r
     return df.where(Region.parse(region).overlaps(F.col("rname"), F.col("pos"), cg.alignment_end(F.col("pos"), F.col("cigar"))))
 
 
-def write_cram(df: DataFrame, path: str, header: SamHeader, *, method: int = entropy.GZIP) -> None:
-    """One file per partition in the folder ``path``; an attempt's file gets its name only when it is complete."""
-    folder, text = path.removeprefix("file://").removeprefix("file:"), str(header)
-    os.makedirs(folder, exist_ok=True)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        name = os.path.join(folder, f"part-{ctx.partitionId():05d}.cram")
-        rows = (tuple(r[f.name] for f in bam.ARROW) for b in batches for r in b.to_pylist())
-        write_file(rows, SamHeader.parse(text), at := f"{name}.{ctx.taskAttemptId()}.tmp", method=method)
-        os.replace(at, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
-
-    df.select(*[f.name for f in bam.ARROW]).mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
+def write_cram(df: DataFrame, path: str, header: SamHeader, *, method: int = entropy.GZIP, mode: str = "append") -> None:
+    """One file per partition in the folder ``path``, named when all are complete."""
+    df.sparkSession.dataSource.register(CramSource)
+    df.select(*[f.name for f in bam.ARROW]).write.format("strandline_cram").option("header", str(header)).option("method", str(method)).mode(mode).save(path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.regions import Region
+from strandline.sources import storage
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class SequenceIndexError(ValueError):
 def index_fasta(path: str) -> list[FaiRecord]:
     """Index records of a FASTA file; lines before the last must be equally long and no sequence empty."""
     out: list[FaiRecord] = []
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         name, at = None, 0
         length = position = bases = width = 0
         ended = False
@@ -70,7 +71,7 @@ def index_fasta(path: str) -> list[FaiRecord]:
 def index_fastq(path: str) -> list[tuple[str, int, int, int, int, int]]:
     """Index records of a FASTQ file: name, length, offset of the bases, line bases, line width, offset of the scores."""
     out = []
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         at = 0
         while head := f.readline():
             seq, plus, qual = f.readline(), f.readline(), f.readline()
@@ -107,7 +108,7 @@ def fetch(path: str, record: FaiRecord, start: int | None = None, end: int | Non
     if hi < lo:
         return ""
     a, z = record.offset(lo), record.offset(hi)
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         f.seek(a)
         return f.read(z - a + 1).replace(b"\n", b"").replace(b"\r", b"").decode("ascii")
 
@@ -115,7 +116,6 @@ def fetch(path: str, record: FaiRecord, start: int | None = None, end: int | Non
 def fetch_regions(spark: SparkSession, path: str, index: Sequence[FaiRecord], regions: DataFrame) -> DataFrame:
     """Bases of many regions (``region`` texts): ``region`` and ``sequence``; an unknown name raises. The index is broadcast: one row per sequence."""
     held = spark.sparkContext.broadcast({r.name: r for r in index})
-    local = path.removeprefix("file://").removeprefix("file:")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +125,7 @@ def fetch_regions(spark: SparkSession, path: str, index: Sequence[FaiRecord], re
                 r = Region.parse(t)
                 if r.name not in held.value:
                     raise ValueError(f"{r.name!r} is not in the index")
-                found.append(fetch(local, held.value[r.name], r.start, r.end))
+                found.append(fetch(path, held.value[r.name], r.start, r.end))
             yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(found)], ["region", "sequence"])
 
     return regions.select("region").mapInArrow(get, "region string, sequence string")

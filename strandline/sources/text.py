@@ -8,12 +8,15 @@ keeps the line in ``_corrupt``; ``mode="FAILFAST"`` raises where the first colum
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import attributes as at
 from strandline.functions import bases, tags, validate, variants
 from strandline.functions import cigar as cg
+from strandline.sources.headers import SamHeader
 
 TAB = "\t"
 
@@ -67,6 +70,17 @@ def read_sam(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAS
     return sam_columns(lines(spark, path), mode=mode, keep=["file"])
 
 
+def in_dictionary(df: DataFrame, header: SamHeader) -> DataFrame:
+    """Alignments whose references, their own and the mate's, must be in the header's dictionary; another name raises."""
+    known = list(header.sequences)
+
+    def checked(c: str) -> Column:
+        error = F.raise_error(F.concat(F.lit("not in the dictionary: "), F.col(c))).cast("string")
+        return F.when(F.col(c).isNull() | F.col(c).isin(known), F.col(c)).otherwise(error)
+
+    return df.withColumns({c: checked(c) for c in ("rname", "mate_rname")})
+
+
 def sam_line(df: DataFrame, *, strict: bool = False) -> Column:
     """The line of an alignment row (columns as ``read_sam`` gives them; ``tags`` may be absent).
 
@@ -246,23 +260,14 @@ def fasta_text(width: int = 80) -> Column:
 def read_fastq(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST") -> DataFrame:
     """Reads of four-line records: ``name``, ``description``, ``sequence``, ``quality``, ``file``.
 
-    A file is one task (as a compressed file always is): a line that starts with ``@`` may be a definition or a
-    quality line, so a splittable scan can't tell records apart by themselves.
+    Plain files are cut by bytes: a task owns the records that begin in its range, and finds the first by a definition line
+    with bases, a plus line and as many scores after it. A compressed file is one task.
     """
-    from collections.abc import Iterator
-
-    import pyarrow as pa
+    from strandline.sources.fastq import FastqSource
 
-    files = spark.read.format("binaryFile").load(path).select("path")
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strandline.sources import fastq
-
-        for b in batches:
-            for p in b.column("path").to_pylist():
-                yield from fastq.batches(p, strict=mode == "FAILFAST")
-
-    return files.mapInArrow(parse, "name string, description string, sequence string, quality string, file string")
+    spark.dataSource.register(FastqSource)
+    paths = [path] if isinstance(path, str) else path
+    return spark.read.format("strandline_fastq").option("paths", "\n".join(paths)).option("strict", str(mode == "FAILFAST")).load()
 
 
 def fastq_text(separator: str = " ") -> Column:
@@ -270,6 +275,14 @@ def fastq_text(separator: str = " ") -> Column:
     return F.concat(F.lit("@"), head, F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), F.col("quality"))
 
 
+def write_features(df: DataFrame, path: str, kind: str, *, directives: Sequence[str] = (), mode: str = "errorifexists") -> None:
+    """Features as GFF3 or GTF files, each beginning with the given directive and comment lines."""
+    for line in directives:
+        if not line.startswith("#") or "\n" in line:
+            raise ValueError(f"neither a directive nor a comment: {line!r}")
+    write_lines(df, feature_line(kind), path, header="\n".join(directives), mode=mode)
+
+
 def write_lines(df: DataFrame, line: Column, path: str, *, header: str = "", mode: str = "errorifexists") -> None:
     """One text file per partition; every file begins with ``header`` (lines without a final line feed), if given."""
     out = df.select(line.alias("value"))

@@ -24,7 +24,8 @@ def test_file_roundtrip(tmp_path, method):
     data = rows(150)
     data += [("u", 4, None, None, None, None, None, None, 0, "ACGT", "IIII", {"RG": bam._value("Z", s="g1")}), ("n", 0, "sq1", 9, 3, "2H3S4M2I1D2N2P5M1H", None, None, 0, None, None, {}), ("x", 0, "sq1", 9, 3, "3S4M2I1D2N5M", "sq0", 5, 9, "ACGTNACGTACGTA", None, {})]
     p = str(tmp_path / "a.cram")
-    cram.write_file(iter(data), HEADER, p, method=method)
+    with open(p, "wb") as f:
+        cram.write_to(f, iter(data), HEADER, method=method)
     reader = cram._Reader({"path": p})
     got = [tuple(r.values()) for piece in reader.partitions() for b in reader.read(piece) for r in b.to_pylist()]
     assert plain(got) == plain(data) and alignments.format_of(p) == "cram"
@@ -34,7 +35,8 @@ def test_source_regions_and_index(spark, tmp_path):
     data = rows(400)
     cram.SLICE_RECORDS, held = 50, cram.SLICE_RECORDS
     try:
-        cram.write_file(iter(data), HEADER, str(tmp_path / "a.cram"))
+        with open(tmp_path / "a.cram", "wb") as f:
+            cram.write_to(f, iter(data), HEADER)
     finally:
         cram.SLICE_RECORDS = held
     p = str(tmp_path / "a.cram")
@@ -45,6 +47,9 @@ def test_source_regions_and_index(spark, tmp_path):
     near = sorted(r[0] for r in data if r[2] == "sq1" and r[3] <= 20000 and r[3] + span[r[5]] - 1 >= 1000)
     assert sorted(r["name"] for r in alignments.read_alignments(spark, p, region="sq1:1000-20000").collect()) == near
     index = cram.build_crai(p)
+    cram.write_crai(p)
+    assert len(cram._Reader({"path": p, "task_bytes": "1", "region": "sq1:1-20000"}).partitions()) < 9
+    assert sorted(r["name"] for r in alignments.read_alignments(spark, p, region="sq1:1000-20000").collect()) == near
     os.rename(cram.write_crai(p), tmp_path / "a.crai.gz")
     assert sequences.read_crai(spark, str(tmp_path / "a.crai.gz")).count() == len(index)
     assert {r[0] for r in index} == {0, 1, -1} and sum(r[0] == 1 for r in index) == 9
