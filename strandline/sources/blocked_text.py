@@ -184,10 +184,10 @@ def read_region(spark: SparkSession, path: str, preset: str, region: str) -> Dat
 def read_indexed_fields(spark: SparkSession, path: str, region: str) -> DataFrame:
     """Lines of any tab-separated file that overlap a region, by the fields that its index names: ``fields`` and ``file``."""
     r = Region.parse(region)
-    headers = {str(index.header) for p in _files(path) if (index := index_of(p)) is not None}
-    if len(headers) != 1:
+    found = [index.header for p in _files(path) if (index := index_of(p)) is not None and index.header is not None]
+    if len({(h.format, h.sequence, h.start, h.end, h.comment) for h in found}) != 1:
         raise ValueError("the files need indexes with the same fields")
-    h = next(index_of(p).header for p in _files(path) if index_of(p) is not None)
+    h = found[0]
     f = F.split("value", "\t")
     start = F.get(f, F.lit(h.start - 1)).try_cast("bigint") + (1 if h.format & 0x10000 else 0)
     end = F.coalesce(F.get(f, F.lit(h.end - 1)).try_cast("bigint"), start) if h.end else start
@@ -209,7 +209,8 @@ def _interval(fields: list[str], preset: str) -> tuple[str, int, int]:
 
 
 def write_index(path: str, preset: str, *, csi: bool = False) -> str:
-    """Index a sorted blocked text file beside it; records without a position raise."""
+    """Index a sorted blocked text file beside it; records without a position raise. ``gtf`` has the fields of ``gff``."""
+    preset = "gff" if preset == "gtf" else preset
     names: dict[str, int] = {}
     found: list[tuple[int, int, int, tuple[int, int]]] = []
     comment = binning.PRESETS[preset][4]
