@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import attributes as at
 from strandline.functions import modifications, tags, validate, variants
-from strandline.plans.catalogue import _DICT, _END, _SAM_ROW_SQL, _SPAN, _by_id, _header, _sequences, _typed_alignments
+from strandline.plans.catalogue import _DEPTH_SQL, _DICT, _END, _SAM_ROW_SQL, _SPAN, _by_id, _header, _sequences, _typed_alignments
 from strandline.session import scratch, table
 from strandline.sources import alignments, bam, bgzf, blocked_text, cram, entropy, headers, indexing, storage, text
 from strandline.sources import variants as vs
@@ -624,3 +624,33 @@ def streamed_bed_files(spark, sf):
     files.write_batches(files.stream_lines(spark, f"{folder}/in", "bed", files_per_trigger=2), lambda df, n: df.select("chrom", "start", "end", "other").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/state", available_now=True).awaitTermination()
     back = spark.read.parquet(f"{folder}/out")
     return back.select(back["other"][0].cast("bigint").alias("feature_id"), "chrom", "start", "end")
+
+
+@query(_DEPTH_SQL + "select r as reference_sequence_id, unnest(generate_series(p, nxt - 1)) as position, depth from z")
+def streamed_depth(spark, sf):
+    """Depth per position, kept as the state of a stream of the alignments."""
+    from strandline.streaming import windows
+
+    folder = scratch(spark, "stream")
+    source = table(spark, sf, "alignments").select("reference_sequence_id", "alignment_start", "cigar", "flags")
+    source.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
+    depth = windows.streamed_depth(stream, name="reference_sequence_id", start="alignment_start", cigar="cigar", flags="flags")
+    done = depth.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    done.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _register_sql(spark: SparkSession) -> None:
+    from strandline.functions import sql
+
+    sql.register(spark)
+
+
+@query(r"""
+with o as (select record_id, unnest(regexp_extract_all(cigar, '\d+[MIDNSHP=X]')) as op from alignments)
+select record_id, count(*) as operations, cast(sum(cast(left(op, length(op) - 1) as bigint)) as bigint) as lengths from o group by 1""")
+def sql_cigar_functions(spark, sf):
+    _register_sql(spark)
+    a = table(spark, sf, "alignments").select("record_id", F.call_function("cigar_operations", F.col("cigar")).alias("o")).where(F.size("o") > 0)
+    return a.select("record_id", F.size("o").cast("bigint").alias("operations"), F.aggregate("o", F.lit(0).cast("bigint"), lambda t, x: t + x["len"]).alias("lengths"))

@@ -40,7 +40,7 @@ def format_of(path: str) -> str:
 def read_alignments(spark: SparkSession, path: str, *, region: str | None = None, reference: str | None = None) -> DataFrame:
     """Alignments of a file or folder, of a region if given; an index beside a compressed file is used."""
     kind = format_of(path)
-    if kind == "bam":
+    if kind in ("bam", "bam.raw"):
         return bam.read_bam(spark, path, region=region)
     if kind == "cram":
         return cram.read_cram(spark, path, reference=reference, region=region)

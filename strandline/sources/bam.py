@@ -314,6 +314,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for p in self.paths:
+            with storage.reading(p) as f:
+                if isinstance(bgzf.opened(f), bgzf.Plain):
+                    out.append(_Piece(p, None, None))  # nothing marks a place to begin at
+                    continue
             index = index_of(p) if self.region is not None else None
             if index is None:
                 size = storage.size(p)
@@ -330,10 +334,12 @@ class _Reader(DataSourceReader):
         if not partition.path:
             return
         with storage.reading(partition.path) as f:
-            r = bgzf.Reader(f)
+            r = bgzf.opened(f)
             _, names = read_header(r)
             end = partition.end
-            if not partition.cut:
+            if isinstance(r, bgzf.Plain):
+                pass
+            elif not partition.cut:
                 r.seek(partition.start)
             else:
                 end = partition.end << 16

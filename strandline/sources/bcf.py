@@ -288,7 +288,7 @@ class _Reader(DataSourceReader):
         if not partition.path:
             return
         with storage.reading(partition.path) as f:
-            r = bgzf.Reader(f)
+            r = bgzf.opened(f)
             header = read_header(r)
             contigs, strings = list(header.records["contig"]), {i: k for k, i in header.string_map().items()}
             if partition.start is not None:

@@ -92,6 +92,30 @@ class Reader:
         return b"".join(out)
 
 
+class Plain:
+    """Bytes that are not compressed, with the reader's interface; positions are bytes."""
+
+    def __init__(self, f: BinaryIO) -> None:
+        self.f = f
+
+    @property
+    def position(self) -> int:
+        return self.f.tell()
+
+    def seek(self, position: int) -> None:
+        self.f.seek(position)
+
+    def read(self, n: int = -1) -> bytes:
+        return self.f.read(n)
+
+
+def opened(f: BinaryIO) -> Reader | Plain:
+    """A reader of a file that is made of blocks or, by its first bytes, is not compressed at all."""
+    packed = f.read(2) == b"\x1f\x8b"
+    f.seek(0)
+    return Reader(f) if packed else Plain(f)
+
+
 def compress_block(data: bytes, level: int = 6) -> bytes:
     """One block of at most ``MAX_DATA`` bytes."""
     c = zlib.compressobj(level, zlib.DEFLATED, -15)

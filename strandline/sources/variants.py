@@ -21,7 +21,7 @@ def read_variants(spark: SparkSession, path: str, *, region: str | None = None)
         if region is not None:
             return blocked_text.read_region(spark, path, "vcf", region).drop("file")
         return text.vcf_columns(blocked_text.read_lines(spark, path))
-    if kind == "bcf":
+    if kind in ("bcf", "bcf.raw"):
         return bcf.read_bcf(spark, path, region=region)
     if kind != "vcf":
         raise ValueError(f"{kind} is not supported for variants")

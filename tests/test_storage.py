@@ -115,3 +115,32 @@ def test_directives_before_features(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "o")).collect()] == ["##gff-version 3", "# made", "sq0\t.\tgene\t1\t5\t.\t+\t.\tID=a"]
     with pytest.raises(ValueError):
         text.write_features(df, str(tmp_path / "p"), "gff", directives=["x"])
+
+
+def test_files_that_are_not_compressed(spark, tmp_path):
+    bam.write_bam(spark.createDataFrame(ROWS, bam.SCHEMA).coalesce(1), str(tmp_path / "b"), HEADER)
+    (p,) = storage.listed(str(tmp_path / "b"), (".bam",))
+    with open(p, "rb") as f:
+        (tmp_path / "raw.bam").write_bytes(bgzf.Reader(f).read())
+    assert alignments.format_of(str(tmp_path / "raw.bam")) == "bam.raw"
+    assert alignments.read_alignments(spark, str(tmp_path / "raw.bam")).count() == 2000
+    assert alignments.read_alignments(spark, str(tmp_path / "raw.bam"), region="sq0:1002-1021").count() == 3
+    (tmp_path / "a.vcf").write_text(VCF + "sq0\t5\t.\tA\tC\t.\t.\tXX=0.5,.\tGT:GQ\t0|1:13\t.\n")
+    head = VcfHeader.parse(VCF)
+    head.insert("contig", {"ID": "sq0"})
+    head.insert("FORMAT", {"ID": "GT", "Number": "1", "Type": "String", "Description": "g"})
+    variants.write_variants(variants.read_variants(spark, str(tmp_path / "a.vcf")).coalesce(1), str(tmp_path / "v.bcf"), head)
+    (q,) = storage.listed(str(tmp_path / "v.bcf"), (".bcf",))
+    with open(q, "rb") as f:
+        (tmp_path / "raw.bcf").write_bytes(bgzf.Reader(f).read())
+    assert variants.read_variants(spark, str(tmp_path / "raw.bcf")).select("chrom", "pos").collect() == [("sq0", 5)]
+
+
+def test_sql_functions_of_operations_and_genotypes(spark):
+    from strandline.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("select cigar_operations('5S10M') a, cigar_simplified('5M5M0I2D') b, cigar_simplified('*') c, genotype('0/1') d, genotype('|1/2|3') e, genotype('./.') f, genotype('1') g, info_entry('DP=5;DB', 'DP') h, base_modification_codes('C+m,1;G-76792,2;') i").first()
+    assert [tuple(x) for x in r["a"]] == [(5, "S"), (10, "M")] and r["b"] == "10M2D" and r["c"] == "*"
+    assert [tuple(x) for x in r["d"]] == [(0, False), (1, False)] and [tuple(x) for x in r["e"]] == [(1, True), (2, False), (3, True)]
+    assert [tuple(x) for x in r["f"]] == [(None, False), (None, False)] and [tuple(x) for x in r["g"]] == [(1, True)] and r["h"] == "5" and r["i"] == ["m", "76792"]
