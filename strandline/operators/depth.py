@@ -36,8 +36,8 @@ def depth_runs(alignments: DataFrame, *, name: str, start: str, cigar: str, flag
     between reads never do.
     """
     reads = alignments.where(F.col(name).isNotNull() & (F.col(start) >= 1) & fl.is_piled(F.col(flags))).select(F.col(name).alias("_n"), F.col(start).cast("bigint").alias("_s"), F.col(cigar).alias("_c"))
-    # equal alignments are one row with a weight from here on
-    reads = reads.groupBy("_n", "_s", "_c").agg(F.count(F.lit(1)).alias("_w"))
+    # the reads themselves are not exchanged: their events are summed per position on the map side
+    reads = reads.withColumn("_w", F.lit(1).cast("bigint"))
     span = cg.reference_span(F.col("_c"))
     change = lambda p, d, a: F.struct(p.alias("p"), d.alias("d"), a.alias("a"))
     no = F.lit(0).cast("bigint")

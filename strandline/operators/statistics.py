@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import bins
@@ -141,3 +141,18 @@ def substitutions(pairs: DataFrame, reference_base: str, read_base: str) -> Data
     """How often each read base stands for each other reference base."""
     r, b = F.upper(reference_base), F.upper(read_base)
     return pairs.where(r != b).groupBy(r.alias("reference_base"), b.alias("read_base")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def unsorted_records(rows: DataFrame, *, file: str, offset: str, reference: str, start: str, tile: int = 1 << 20) -> DataFrame:
+    """Per file the number of records that come before their predecessor: ``file``, ``unsorted``.
+
+    Order is by ``reference`` (a number; missing or negative ones come last) and ``start``. Records are compared inside
+    tiles of ``tile`` offsets, whose last and first records are compared with each other, so no file is in one task.
+    """
+    place = F.struct(F.when(F.col(reference) >= 0, F.col(reference).cast("bigint")).otherwise(2**40).alias("r"), F.coalesce(F.col(start).cast("bigint"), F.lit(0)).alias("s"))
+    spots = rows.select(F.col(file).alias("_f"), F.col(offset).cast("bigint").alias("_o"), place.alias("_p")).withColumn("_t", F.floor(F.col("_o") / tile))
+    by = Window.partitionBy("_f", "_t").orderBy("_o")
+    inside = spots.withColumn("_bad", (F.col("_p") < F.lag("_p").over(by)).cast("int")).groupBy("_f", "_t")
+    tiles = inside.agg(F.coalesce(F.sum("_bad"), F.lit(0)).alias("_n"), F.min_by("_p", "_o").alias("_first"), F.max_by("_p", "_o").alias("_last"))
+    between = F.when(F.col("_first") < F.lag("_last").over(Window.partitionBy("_f").orderBy("_t")), 1).otherwise(0)
+    return tiles.withColumn("_n", F.col("_n") + between).groupBy(F.col("_f").alias("file")).agg(F.sum("_n").alias("unsorted"))

@@ -311,6 +311,13 @@ def slice_index(spark, sf):
     return statistics.slice_index(placed, slice_=F.col("file_id"), reference="reference_sequence_id", start="alignment_start", cigar="cigar")
 
 
+@query("""
+with p as (select file_id, record_id, (case when reference_sequence_id >= 0 then reference_sequence_id else 1099511627776 end, coalesce(alignment_start, 0)) as k from alignments)
+select file_id as file, cast(sum(case when k < before then 1 else 0 end) as bigint) as unsorted from (select *, lag(k) over (partition by file_id order by record_id) as before from p) group by 1""")
+def unsorted_records(spark, sf):
+    return statistics.unsorted_records(_aln(spark, sf), file="file_id", offset="record_id", reference="reference_sequence_id", start="alignment_start", tile=1 << 12)
+
+
 @query("select reference_sequence_name as name, min(variant_id) as first_offset from variants where reference_sequence_name is not null group by 1")
 def names_in_order(spark, sf):
     return statistics.first_appearance(table(spark, sf, "variants"), "reference_sequence_name", "variant_id")
@@ -452,23 +459,28 @@ def feature_region_filter(spark, sf):
     return overlap.region_filter(table(spark, sf, "features"), r, name="reference_sequence_name", start=F.col("feature_start"), end=F.col("feature_end")).select("feature_id")
 
 
-# variants with INFO and genotypes in text form, derived from orders
-_VAR_SQL = """(select o_orderkey as k, 'DP=' || (o_orderkey % 97)::varchar || ';AF=0.' || (o_orderkey % 9)::varchar || ',.' || case when o_orderkey % 3 = 0 then ';DB' else '' end as info,
-  case o_orderkey % 4 when 0 then '0|1' when 1 then '0/1' when 2 then './.' else '1' end as gt from orders)"""
+_DP = "field_key = 'DP' and info is not null and regexp_full_match(trim(info), '-?[0-9]{1,9}')"
 
 
-def _var(spark, sf):
-    k = F.col("o_orderkey")
-    info = F.concat(F.lit("DP="), (k % 97).cast("string"), F.lit(";AF=0."), (k % 9).cast("string"), F.lit(",."), F.when(k % 3 == 0, ";DB").otherwise(""))
-    gt = F.when(k % 4 == 0, "0|1").when(k % 4 == 1, "0/1").when(k % 4 == 2, "./.").otherwise("1")
-    return table(spark, sf, "orders").select(k.alias("k"), info.alias("info"), gt.alias("gt"))
-
-
-@query(f"select k, cast(k % 97 as int) as dp, k % 3 = 0 as db, round((k % 9) / 10.0, 3)::double as af from {_VAR_SQL}")
+@query(f"select variant_id, cast(trim(info) as int) as dp, list_max([try_cast(trim(info) as bigint)]) % 2 = 0 as db, round(cast(trim(info) as int) / 1024.0, 6)::double as af from info_fields where {_DP}")
 def info_get_typed(spark, sf):
-    v = _var(spark, sf).withColumn("m", variants.info_map(F.col("info")))
+    """Depths of the variants as INFO texts with a flag and a list derived from them."""
+    depth = F.trim("info")
+    i = table(spark, sf, "info_fields").where((F.col("field_key") == "DP") & F.col("info").isNotNull() & depth.rlike("^-?[0-9]{1,9}$"))
+    text = F.concat(F.lit("DP="), depth, F.lit(";AF="), (depth.cast("int") / 1024).cast("decimal(20,10)").cast("string"), F.lit(",."), F.when(depth.cast("bigint") % 2 == 0, ";DB").otherwise(""))
+    v = i.select("variant_id", variants.info_map(text).alias("m"))
     af = variants.info_value(F.col("m"), "AF", "A", "Float")
-    return v.select("k", variants.info_value(F.col("m"), "DP", "1", "Integer").alias("dp"), variants.info_value(F.col("m"), "DB", "0", "Flag").alias("db"), F.round(F.get(af, F.lit(0)).cast("double"), 3).alias("af"))
+    return v.select("variant_id", variants.info_value(F.col("m"), "DP", "1", "Integer").alias("dp"), variants.info_value(F.col("m"), "DB", "0", "Flag").alias("db"), F.round(F.get(af, F.lit(0)).cast("double"), 6).alias("af"))
+
+
+# the tables have no samples: genotypes by the number of the variant
+_VAR_SQL = "(select variant_id as k, case variant_id % 4 when 0 then '0|1' when 1 then '0/1' when 2 then './.' else '1' end as gt from variants)"
+
+
+def _var(spark, sf):
+    k = F.col("variant_id")
+    gt = F.when(k % 4 == 0, "0|1").when(k % 4 == 1, "0/1").when(k % 4 == 2, "./.").otherwise("1")
+    return table(spark, sf, "variants").select(k.alias("k"), gt.alias("gt"))
 
 
 @query(f"""
@@ -498,18 +510,20 @@ def gtf_attributes_get(spark, sf):
     return has.select("line_id", F.get(F.try_element_at(at.gtf_attributes(F.col("f")[8]), F.lit("gene_id")), F.lit(0)).alias("gene_id"))
 
 
-@query("select p_partkey, 'p' || p_partkey::varchar as id, replace(p_name, ' ', ';') as note, 2 as aliases from part")
+@query("select feature_id, 'f' || feature_id::varchar as id, coalesce(feature_name, '') || ';=' as note, 2 as aliases from features")
 def gff_attributes_get(spark, sf):
-    p = table(spark, sf, "part")
-    text = F.concat(F.lit("ID=p"), F.col("p_partkey").cast("string"), F.lit(";Note="), at.percent_encoded(F.replace("p_name", F.lit(" "), F.lit(";")), at.FEATURE_RESERVED), F.lit(";Alias=a,b%2Cc;ID=other"))
+    f = table(spark, sf, "features")
+    text = F.concat(F.lit("ID=f"), F.col("feature_id").cast("string"), F.lit(";Note="), at.percent_encoded(F.concat(F.coalesce("feature_name", F.lit("")), F.lit(";=")), at.FEATURE_RESERVED), F.lit(";Alias=a,b%2Cc;ID=other"))
     m = at.gff_attributes(text)
-    return p.select("p_partkey", m["ID"][0].alias("id"), m["Note"][0].alias("note"), F.size(m["Alias"]).alias("aliases"))
+    return f.select("feature_id", m["ID"][0].alias("id"), m["Note"][0].alias("note"), F.size(m["Alias"]).alias("aliases"))
 
 
-@query("""select c_custkey, replace(replace(replace(replace(c_name || '%;=,', '%', '%25'), ';', '%3B'), '=', '%3D'), ',', '%2C') as encoded, c_name || '%;=,' as decoded from customer""")
+@query("""select line_id, replace(replace(replace(replace(line, '%', '%25'), ';', '%3B'), '=', '%3D'), ',', '%2C') as encoded, line as decoded from feature_lines where line is not null and regexp_full_match(line, '[\t -~]*')""")
 def percent_coding(spark, sf):
-    text = F.concat("c_name", F.lit("%;=,"))
-    return table(spark, sf, "customer").select("c_custkey", at.percent_encoded(text).alias("encoded"), at.percent_decoded(at.percent_encoded(text)).alias("decoded"))
+    """Whole lines of printable characters, encoded and decoded again; tabs apart, which are encoded too."""
+    lines = table(spark, sf, "feature_lines").where(F.col("line").rlike(r"^[\t -~]*\z"))
+    coded = at.percent_encoded(F.col("line"))
+    return lines.select("line_id", F.replace(coded, F.lit("%09"), F.lit("\t")).alias("encoded"), at.percent_decoded(coded).alias("decoded"))
 
 
 # coordinates and offsets --------------------------------------------------------------------
@@ -623,15 +637,22 @@ def bam_file_roundtrip(spark, sf):
     return _through_files(spark, sf, "bam")
 
 
+_MERGED = r"""
+o as (select record_id, unnest(regexp_extract_all(replace(replace(cigar, '=', 'M'), 'X', 'M'), '\d+[MIDNSHP]')) as op, generate_subscripts(regexp_extract_all(replace(replace(cigar, '=', 'M'), 'X', 'M'), '\d+[MIDNSHP]'), 1) as i from alignments where flags & 4 = 0),
+l as (select record_id, i, right(op, 1) as k, cast(left(op, length(op) - 1) as int) as n from o where cast(left(op, length(op) - 1) as int) > 0),
+g as (select *, sum(case when p is distinct from k then 1 else 0 end) over (partition by record_id order by i) as run from (select *, lag(k) over (partition by record_id order by i) as p from l)),
+r as (select record_id, run, any_value(k) as k, sum(n) as n from g group by 1, 2),
+merged as (select record_id, string_agg(n::varchar || k, '' order by run) as cigar from r group by 1)"""
+
+
 @query(
-    _SAM_ROW_SQL.replace("case when mapping_quality <> 255 then", "case when mapping_quality <> 255 and flags & 4 = 0 then").replace(
-        "case when cigar not in ('', '*') then cigar end as cigar", f"case when cigar not in ('', '*') and flags & 4 = 0 then nullif({_SPAN}, 0) end as span"
-    )
+    f"with {_MERGED}"
+    + _SAM_ROW_SQL.replace("case when mapping_quality <> 255 then", "case when mapping_quality <> 255 and flags & 4 = 0 then").replace("case when cigar not in ('', '*') then cigar end as cigar", "w.cigar")
+    + " left join merged w on w.record_id = a.record_id"
 )
 def cram_file_roundtrip(spark, sf):
-    """An unmapped record keeps neither CIGAR nor mapping quality in this format, and ``=`` and ``X`` join ``M``: the span stays."""
-    back = _through_files(spark, sf, "cram")
-    return back.select(*[cg.reference_span(F.col(c)).alias("span") if c == "cigar" else c for c in back.columns])
+    """An unmapped record keeps neither CIGAR nor mapping quality in this format, and ``=`` and ``X`` come back as ``M``."""
+    return _through_files(spark, sf, "cram")
 
 
 @query("""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import importlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -316,26 +317,40 @@ def _slice_header(raw: bytes) -> tuple[Slice, int]:
 
 
 class References:
-    """Bases of an indexed FASTA file, the last sequence kept."""
+    """Bases by name, the last sequence kept, from a provider of sequences.
 
-    def __init__(self, path: str | None) -> None:
-        self.path, self.index, self.held = path, None, ("", "")
+    ``source``: an indexed or plain FASTA file, a folder or pattern of such files, or ``python:module:factory``, whose factory takes no argument
+    and returns a function from a name to the bases (or None). A name that no file has raises.
+    """
+
+    def __init__(self, source: str | None) -> None:
+        self.source, self.index, self.held = source, None, ("", "")
+
+    def _provided(self, name: str) -> str | None:
+        if self.source.startswith("python:"):
+            if self.index is None:
+                _, module, factory = self.source.split(":")
+                self.index = getattr(importlib.import_module(module), factory)()
+            return self.index(name)
+        if self.index is None:
+            self.index = {}
+            for path in storage.listed(self.source, (".fa", ".fasta", ".fna")):
+                if storage.exists(fai := f"{path}.fai"):
+                    with storage.reading(fai) as f:
+                        records = sequences.parse_fai(f.read().decode())
+                else:
+                    records = sequences.index_fasta(path)
+                self.index |= {r.name: (path, r) for r in records}
+        return sequences.fetch(*self.index[name]) if name in self.index else None
 
     def get(self, name: str) -> str:
-        if self.path is None:
+        if self.source is None:
             raise ValueError("this file needs a reference")
-        if self.index is None:
-            fai = f"{self.path}.fai"
-            if storage.exists(fai):
-                with storage.reading(fai) as f:
-                    records = sequences.parse_fai(f.read().decode())
-            else:
-                records = sequences.index_fasta(self.path)
-            self.index = {r.name: r for r in records}
         if self.held[0] != name:
-            if name not in self.index:
+            bases = self._provided(name)
+            if bases is None:
                 raise ValueError(f"the reference has no {name!r}")
-            self.held = (name, sequences.fetch(self.path, self.index[name]).upper())
+            self.held = (name, bases.upper())
         return self.held[1]
 
 

@@ -108,3 +108,21 @@ def test_codes():
     assert beta(cram.Streams(cram.Bits(bytes([0b01010000])), {})) == 8
     with pytest.raises(NotImplementedError):
         cram._integers(2, entropy.Bytes(b""))
+
+
+def provider():
+    return {"sq0": "acgt"}.get
+
+
+def test_references_from_a_folder_or_a_provider(tmp_path):
+    (tmp_path / "a.fa").write_text(">sq0\nACGT\nAC\n")
+    (tmp_path / "b.fa").write_text(">sq1\nggtt\n")
+    held = cram.References(str(tmp_path))
+    assert held.get("sq1") == "GGTT" and held.get("sq0") == "ACGTAC"
+    own = cram.References("python:tests.test_cram:provider")
+    assert own.get("sq0") == "ACGT"
+    for r in (held, own):
+        with pytest.raises(ValueError, match="has no"):
+            r.get("sq9")
+    with pytest.raises(ValueError, match="needs a reference"):
+        cram.References(None).get("sq0")
