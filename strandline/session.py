@@ -59,14 +59,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that other tasks read, removed when the application ends: in the shared checkpoint folder, or (in local mode without one) on this machine."""
+    """A path for a new folder of files that other tasks read, removed when the application ends: in the shared checkpoint folder, or (in local mode without one) on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        return _local_folder(spark, name)
+        return f"{_local_folder(spark, name)}/files"
     folder = f"{base.rstrip('/')}/strandline-{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/files"
 
 
 def spread(scan: DataFrame) -> DataFrame:
