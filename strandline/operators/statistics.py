@@ -156,3 +156,13 @@ def unsorted_records(rows: DataFrame, *, file: str, offset: str, reference: str,
     tiles = inside.agg(F.coalesce(F.sum("_bad"), F.lit(0)).alias("_n"), F.min_by("_p", "_o").alias("_first"), F.max_by("_p", "_o").alias("_last"))
     between = F.when(F.col("_first") < F.lag("_last").over(Window.partitionBy("_f").orderBy("_t")), 1).otherwise(0)
     return tiles.withColumn("_n", F.col("_n") + between).groupBy(F.col("_f").alias("file")).agg(F.sum("_n").alias("unsorted"))
+
+
+def tag_sets(tags: DataFrame, *, record: str, tag: str) -> DataFrame:
+    """How many records have each set of tags: ``tag_set`` (distinct tags in order, joined by commas) and ``records``.
+
+    Rows with a NULL record or tag are left out; repeated rows of a record change nothing.
+    """
+    pairs = tags.where(F.col(record).isNotNull() & F.col(tag).isNotNull()).select(F.col(record).alias("_r"), F.col(tag).alias("_t")).distinct()
+    per = pairs.groupBy("_r").agg(F.array_join(F.array_sort(F.collect_list("_t")), ",").alias("tag_set"))
+    return per.groupBy("tag_set").agg(F.count(F.lit(1)).alias("records"))

@@ -654,3 +654,107 @@ def sql_cigar_functions(spark, sf):
     _register_sql(spark)
     a = table(spark, sf, "alignments").select("record_id", F.call_function("cigar_operations", F.col("cigar")).alias("o")).where(F.size("o") > 0)
     return a.select("record_id", F.size("o").cast("bigint").alias("operations"), F.aggregate("o", F.lit(0).cast("bigint"), lambda t, x: t + x["len"]).alias("lengths"))
+
+
+# codecs and counts --------------------------------------------------------------------------
+
+
+def _through_codec(rows: DataFrame, encode, decode) -> DataFrame:
+    """``record_id`` and ``value`` through a codec, the values of a batch as one text with line feeds."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            body = "\n".join(b.column("value").to_pylist()).encode()
+            back = decode(encode(body), len(body)).decode().split("\n")
+            yield pa.RecordBatch.from_arrays([b.column("record_id"), pa.array(back, pa.string())], ["record_id", "value"])
+
+    return rows.mapInArrow(run, "record_id bigint, value string")
+
+
+_SCORED = "quality_scores is not null and quality_scores <> ''"
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "alignments").where(_SCORED).select("record_id", F.col("quality_scores").alias("value"))
+
+
+def _codec(method: int):
+    return lambda spark, sf: _through_codec(_scores(spark, sf), lambda d: entropy.compress(method, d), lambda d, n: entropy.decompress(method, d, n))
+
+
+for _name, _method in (("codec_rans4", entropy.RANS4), ("codec_rans16", entropy.RANS16), ("codec_range", entropy.RANGE), ("codec_bzip2", entropy.BZIP2)):
+    QUERIES[_name] = _codec(_method)
+    ORACLES[_name] = f"select record_id, quality_scores as value from alignments where {_SCORED}"
+
+
+@query("select record_id, read_name as value from alignments where read_name is not null and read_name <> ''")
+def codec_names(spark, sf):
+    from strandline.sources import record_codecs
+
+    rows = table(spark, sf, "alignments").where("read_name is not null and read_name <> ''").select("record_id", F.col("read_name").alias("value"))
+    return _through_codec(rows, lambda d: record_codecs.names_encode(d.split(b"\n")), lambda d, n: record_codecs.names_decode(d).rstrip(b"\0").replace(b"\0", b"\n"))
+
+
+@query("""
+with p as (select distinct record_id, tag from data_fields where record_id is not null and tag is not null),
+s as (select record_id, string_agg(tag, ',' order by tag) as tag_set from p group by 1) select tag_set, count(*) as records from s group by 1""")
+def tag_sets(spark, sf):
+    from strandline.operators import statistics
+
+    return statistics.tag_sets(table(spark, sf, "data_fields"), record="record_id", tag="tag")
+
+
+@query(f"select file_id, count(*) as records, cast(sum(length(seq)) as bigint) as bases from alignments where {_HAS_BASES} group by 1")
+def base_counts(spark, sf):
+    return table(spark, sf, "alignments").where(_HAS_BASES).groupBy("file_id").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("seq")).alias("bases"))
+
+
+@query(f"select record_id, length(seq) as length, length(seq) + 1 as line_width, length(seq) + 3 as to_scores from alignments where {_HAS_BASES} and quality_scores not in ('', '*') and length(quality_scores) = length(seq)")
+def fastq_index(spark, sf):
+    """Index records of FASTQ files: how far the scores stand behind the bases."""
+    from strandline.sources import sequences
+
+    folder = scratch(spark, "fastqindex")
+    reads = table(spark, sf, "alignments").where(f"{_HAS_BASES} and quality_scores not in ('', '*') and length(quality_scores) = length(seq)")
+    named = reads.select(F.col("record_id").cast("string").alias("name"), F.lit("d").alias("description"), F.col("seq").alias("sequence"), F.col("quality_scores").alias("quality"))
+    text.write_lines(named, text.fastq_text(), folder)
+    rows = lambda p: [(n, length, offset, bases, width, scores) for n, length, offset, bases, width, scores in sequences.index_fastq(p)]
+    found = indexing._per_file(spark, storage.listed(folder), rows, "name string, length bigint, position bigint, line_bases bigint, line_width bigint, scores bigint")
+    return found.select(F.col("name").cast("bigint").alias("record_id"), "length", "line_width", (F.col("scores") - F.col("position")).alias("to_scores"))
+
+
+_BIN_OF = "case " + " ".join(f"when (s - 1) >> {14 + 3 * (5 - lv)} = (e - 1) >> {14 + 3 * (5 - lv)} then {((1 << 3 * lv) - 1) // 7} + ((s - 1) >> {14 + 3 * (5 - lv)})" for lv in range(5, 0, -1)) + " else 0 end"
+
+
+@query(f"select record_id, cast(case when s is null then 4680 else ({_BIN_OF}) & 65535 end as int) as bin from (select record_id, case when alignment_start >= 1 then alignment_start end as s, case when alignment_start >= 1 then {_END} end as e from alignments)")
+def record_bins(spark, sf):
+    """The 16-bit bin that a binary record stores."""
+    from strandline.functions import bins
+    from strandline.functions.cigar import alignment_end
+
+    start = F.when(F.col("alignment_start") >= 1, F.col("alignment_start"))
+    return table(spark, sf, "alignments").select("record_id", bins.bam_bin(start, alignment_end(start, F.col("cigar"))).alias("bin"))
+
+
+@query(f"select a.record_id, substr(f.seq, 1, 5) as bases from alignments a join alignments f on f.record_id = a.record_id where f.{_HAS_BASES.replace(' and seq', ' and f.seq')}")
+def reference_bases_join(spark, sf):
+    """Sequences of a FASTA file joined to records by name."""
+    a = table(spark, sf, "alignments").select("record_id", F.col("record_id").cast("string").alias("name"))
+    return a.join(text.read_fasta(spark, _fasta(spark, sf)), "name").select("record_id", F.substring("sequence", 1, 5).alias("bases"))
+
+
+@query(f"select record_id from alignments a join {_DICT} d on d.ref_id = a.reference_sequence_id where {_PLACED} and d.name = (select name from {_DICT} where ref_id = 7) and alignment_start <= {_REGION[1]} and {_END} >= {_REGION[0]}")
+def streamed_region(spark, sf):
+    """The records of a region out of a stream of files."""
+    from strandline.functions.cigar import alignment_end
+    from strandline.functions.regions import Region
+    from strandline.streaming import files
+
+    folder = scratch(spark, "stream")
+    rows = _placed(spark, sf, _sorted_header(spark, sf))
+    text.write_lines(rows, text.sam_line(rows), f"{folder}/in")
+    region = Region.parse(f"{_region_name(spark, sf)}:{_REGION[0]}-{_REGION[1]}")
+    stream = files.stream_lines(spark, f"{folder}/in", "sam").where(region.overlaps(F.col("rname"), F.col("pos"), alignment_end(F.col("pos"), F.col("cigar"))))
+    files.write_batches(stream, lambda df, n: df.select("name").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/state", available_now=True).awaitTermination()
+    return spark.read.schema("name string").parquet(f"{folder}/out").select(F.col("name").cast("bigint").alias("record_id"))
