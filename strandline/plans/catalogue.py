@@ -692,3 +692,13 @@ def event_windows(spark, sf):
 
     e = windows.windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), time="ts", key="event_type", value="value", width="1 hour")
     return e.select(F.date_format("event_window", "yyyy-MM-dd HH:mm:ss").alias("event_window"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+select strftime(bin - i * interval '30 minutes', '%Y-%m-%d %H:%M:%S') as event_window, event_type, count(*) as n, round(sum(value), 4) as total
+from (select time_bucket(interval '30 minutes', make_timestamp(epoch_us(ts))) as bin, event_type, value from events), (values (0), (1)) s(i) group by 1, 2""")
+def event_windows_sliding(spark, sf):
+    from strandline.streaming import windows
+
+    e = windows.windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), time="ts", key="event_type", value="value", width="1 hour", slide="30 minutes")
+    return e.select(F.date_format("event_window", "yyyy-MM-dd HH:mm:ss").alias("event_window"), "event_type", "n", F.round("total", 4).alias("total"))

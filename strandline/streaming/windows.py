@@ -9,11 +9,11 @@ from strandline.functions import cigar as cg
 from strandline.functions import flags as fl
 
 
-def windowed_counts(events: DataFrame, *, time: str, key: str, value: str, width: str, late: str | None = None) -> DataFrame:
-    """Count and sum per tumbling window and key; ``late`` sets a watermark, needed for append output of streams."""
+def windowed_counts(events: DataFrame, *, time: str, key: str, value: str, width: str, slide: str | None = None, late: str | None = None) -> DataFrame:
+    """Count and sum per window and key, a new window every ``slide`` (tumbling, if not given); ``late`` sets a watermark, needed for append output of streams."""
     if late is not None:
         events = events.withWatermark(time, late)
-    grouped = events.groupBy(F.window(time, width).alias("_w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    grouped = events.groupBy(F.window(time, width, slide).alias("_w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return grouped.select(F.col("_w.start").alias("event_window"), key, "n", "total")
 
 
